@@ -85,7 +85,7 @@ def later_occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
     chunks = rows.mapInArrow(_chunks, "digest long, doc long, place long")
     first = chunks.groupBy("digest").agg(F.min("doc").alias("d0"), F.min_by("place", F.struct("doc", "place")).alias("p0"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = chunks.join(first, "digest").where((F.col("doc") != F.col("d0")) | (F.col("place") != F.col("p0")))
+    later = chunks.join(first.hint("merge"), "digest").where((F.col("doc") != F.col("d0")) | (F.col("place") != F.col("p0")))
     return later.groupBy("doc").agg(F.collect_set("place").alias("places"))  # a document's own chunks: bounded by its text
 
 
@@ -117,7 +117,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` with the document's places as the last column, whatever the others are called."""
     found = cut(later_occurrences(docs, id_col, text_col), "later")
     found = found.toDF(fresh(docs, "_doc"), fresh(docs, "_places"))
-    return docs.join(found, docs[id_col].cast("long") == found[found.columns[0]], "left").drop(found.columns[0])
+    return docs.join(found.hint("merge"), docs[id_col].cast("long") == found[found.columns[0]], "left").drop(found.columns[0])
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,7 +3,8 @@
 Documents are sets of word shingles. Equal sets collapse first. Then several independent trees branch the rest:
 a node of a tree selects one or two coordinates of the MinHash signature, and a document goes to the child that
 its minwise token there names. Nodes of few documents are compared exhaustively and branch no further;
-larger ones branch on, to a fixed depth. Pairs whose signatures agree well enough inside a node join
+larger ones branch on, to a fixed depth, unless a child keeps most of its parent's documents: these are alike, and
+form a group as they are. Pairs whose signatures agree well enough inside a node join
 candidate groups; every group is then decided on the full sets, all pairs of it, so that a link depends
 on its exact similarity alone. Groups beyond a block's size are compared block by block with shared pivots, and
 documents that do not hang together with the pivots are compared with all blocks. Links become components.
@@ -30,6 +31,8 @@ TREES, DEPTH, SMALL_NODE = 12, 6, 48
 #: Pairs whose signatures agree in a smaller share are not candidates: at 0.8, 64 coordinates and four deviations.
 ESTIMATE_MARGIN = 0.2
 BLOCK = 192
+#: A child with this share of its parent's documents does not branch further.
+DENSE = 0.5
 CACHE_ENTRIES = 400_000
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -156,7 +159,7 @@ def _next_children(batches):
             c = np.array([p[j] if j < len(p) else -1 for p in picks])[which]
             rows = np.flatnonzero(c >= 0)
             child = _mix((sig[rows, c[rows]] + (c[rows].astype(np.uint64) << np.uint64(32))) * _STEP ^ nodes[rows])
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column("doc").take(pa.array(rows))], names=["node", "doc"])
+            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column("doc").take(pa.array(rows)), batch.column("c").take(pa.array(rows))], names=["node", "doc", "above"])
 
 
 def _find(up: list[int], i: int) -> int:
@@ -190,22 +193,22 @@ def _likely(least: float):
 
 def _candidate_links(reps: DataFrame, trees: int, depth: int, least: float) -> DataFrame:
     """Links between documents that may be similar: (a, b)."""
-    members = reps.mapInArrow(_first_children(trees), "node long, doc long")
-    lists, stars, level = [], None, 1
-    while True:
-        sized = cut(members.join(members.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "node") if level == 1 else members, "members")
+    members = reps.mapInArrow(_first_children(trees), "node long, doc long").withColumn("above", F.lit(reps.count()))
+    lists, stars = [], []
+    for level in range(1, depth + 1):
+        if level > 1:
+            members = cut(members, "children")
+        counts = members.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        sized = cut(members.join(counts, "node"), "members")
         lists.append(sized.where(F.col("c") <= SMALL_NODE).groupBy("node").agg(F.sort_array(F.collect_list("doc")).alias("docs")).select("docs"))
         big = sized.where(F.col("c") > SMALL_NODE)
-        if big.isEmpty():
+        ends = F.col("c") >= DENSE * F.col("above") if level < depth else F.lit(True)
+        heads = big.where(ends).groupBy("node").agg(F.min("doc").alias("a"))
+        stars.append(big.where(ends).join(heads, "node").where("a <> doc").select("a", F.col("doc").alias("b")))
+        big = big.where(~ends)
+        if level == depth or big.isEmpty():
             break
-        if level == depth:
-            heads = big.groupBy("node").agg(F.min("doc").alias("a"))
-            stars = big.join(heads, "node").where("a <> doc").select("a", F.col("doc").alias("b")).distinct()
-            break
-        children = big.select("node", "doc").join(reps.select("doc", "sig"), "doc").select("node", "doc", "sig").mapInArrow(_next_children, "node long, doc long")
-        children = cut(children, "children")
-        members = children.join(children.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "node")
-        level += 1
+        members = big.join(reps.select("doc", "sig"), "doc").select("node", "doc", "c", "sig").mapInArrow(_next_children, "node long, doc long, above long")
     nodes = lists[0]
     for x in lists[1:]:
         nodes = nodes.unionByName(x)
@@ -213,18 +216,18 @@ def _candidate_links(reps: DataFrame, trees: int, depth: int, least: float) -> D
     each = nodes.select(F.xxhash64("docs").alias("k"), F.size("docs").alias("c"), F.explode("docs").alias("doc"))
     held = each.join(reps.select("doc", "sig"), "doc").groupBy("k", "c").agg(F.collect_list(F.struct("doc", "sig")).alias("members"))
     links = held.select("members").mapInArrow(_likely(least), "a long, b long")
-    return links if stars is None else links.unionByName(stars)
-
+    for x in stars:
+        links = links.unionByName(x)
+    return links.distinct()
 
-def _assigned_sets(k: int):
-    """(c, block, sub, doc, asks, shingles): the full sets, as bytes, of assigned documents."""
 
+def _full_sets(k: int):
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 sets = shingle_sets(part.column("text").to_pylist(), k)
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in ("cluster", "block", "sub", "doc", "asks")), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cluster", "block", "sub", "doc", "asks", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "shingles"])
 
     return run
 
@@ -259,11 +262,9 @@ def _linker(percent: int):
     return run
 
 
-def _decided(docs: DataFrame, assigned: DataFrame, k: int, percent: int) -> DataFrame:
+def _decided(sets: DataFrame, assigned: DataFrame, percent: int) -> DataFrame:
     """(cluster, a, b): links that hold on the full sets; ``assigned`` is (doc, cluster, block, sub, asks)."""
-    texts = assigned.join(docs, "doc").select("cluster", "block", "sub", "doc", "asks", "text")
-    sets = texts.mapInArrow(_assigned_sets(k), "cluster long, block int, sub int, doc long, asks boolean, shingles binary")
-    return sets.groupBy("cluster", "block", "sub").applyInArrow(_linker(percent), "cluster long, a long, b long")
+    return sets.join(assigned.hint("merge"), "doc").groupBy("cluster", "block", "sub").applyInArrow(_linker(percent), "cluster long, a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = TREES, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,7 +293,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     pivots = wide.select(F.explode(F.array_distinct(F.array("p0", "p1", "p2", "p3"))).alias("doc"), "cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     plain = [F.lit(0).alias("sub"), F.lit(False).alias("asks")]
     assigned = placed.select("doc", "cluster", "block", *plain).unionByName(pivots.select("doc", "cluster", "block", *plain)).distinct()
-    held = cut(_decided(rows, assigned, k, percent), "links")
+    # the texts move once, whatever their number: a broadcast of the ids would grow with the corpus
+    sets = cut(rows.join(clusters.select("doc").hint("merge"), "doc").mapInArrow(_full_sets(k), "doc long, shingles binary"), "sets")
+    held = cut(_decided(sets, assigned, percent), "links")
     found = components(held)
     if not wide.isEmpty():
         inside = placed.where("blocks > 1")
@@ -304,7 +307,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
             subs = apart.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("subs"))
             guests = apart.join(subs, "cluster").select("doc", "cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("doc", F.lit(5)), F.col("subs")).cast("int").alias("sub"), F.lit(True).alias("asks"))
             hosts = inside.join(subs, "cluster").select("doc", "cluster", "block", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), F.lit(False).alias("asks"))
-            found = components(held.unionByName(_decided(rows, guests.unionByName(hosts), k, percent)))
+            found = components(held.unionByName(_decided(sets, guests.unionByName(hosts), percent)))
     by_class = classes.select("d1", "d2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("least"))
     out = sketches.select("doc", "n", "d1", "d2").join(by_class, ["d1", "d2"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.col("least")).otherwise(F.col("doc"))
