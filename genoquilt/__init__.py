@@ -1 +1,5 @@
 """Association scans on Spark DataFrames."""
+
+from .plans.api import LinearResult, MultivariateResult, run_linear, run_multivariate
+
+__all__ = ["LinearResult", "MultivariateResult", "run_linear", "run_multivariate"]
