@@ -63,10 +63,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def _canonical_sql(text: str) -> str:
-    out = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    for pattern, to in licenses.STEPS:
-        out = f"regexp_replace({out}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
-    return out
+    out = f"regexp_replace(regexp_replace(lower({text}), '{licenses.COPYRIGHT_LINE}', ' ', 'g'), '{licenses.SEPARATOR}', ' ', 'g')"
+    for a, b in licenses.SPELLINGS:
+        out = f"replace({out}, '{a}', '{b}')"
+    return f"trim({out})"
 
 
 def oracle_sql() -> dict[str, str]:
