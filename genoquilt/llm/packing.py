@@ -11,12 +11,15 @@ in two steps, within hash buckets and over buckets, so no length's pieces ever m
 from __future__ import annotations
 
 import functools
+import json
+import os
 import re
-import unicodedata
 import zlib
+from collections import ChainMap
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,23 +36,40 @@ MAX_BROADCAST_RUNS = 1_000_000
 class WordEncoder:
     """Ids as little-endian unsigned 32-bit bytes, equal to the library's for the whole text.
 
-    The pre-tokenizer drops white space and matches never cross it, so words between white space are encoded
-    apart and frequent ones looked up. That holds for texts of Latin letters and signs (``_PLAIN``); texts
-    with other characters, or with a special token's string, go to the library whole.
+    The pre-tokenizer drops white space and matches never cross it, so words between white space are encoded apart
+    and frequent ones looked up. New words are split into pre-tokens; unknown ones of these go to the library in one
+    text, whose ids fall apart at the tokens that end a pre-token. That holds for texts of Latin letters and signs
+    (``_PLAIN``), which lower-case letter by letter and are in normal form; texts with other characters, or with a
+    special token's string, go to the library whole.
     """
 
-    _PLAIN = re.compile(r"[\t-\r -~\xa0-ɏ‐-…€]*")
+    _PLAIN = re.compile(r"[\t-\r -~\xa0-įı-ɏ‐-…€]*")
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self._library = tokenizers.Tokenizer.from_file(path)
         self._library.no_truncation()
         self._library.no_padding()
         self._special = [t.content for t in self._library.get_added_tokens_decoder().values()]
+        split = json.loads(self._library.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self._split = regex.compile(split).findall
+        self._ends = np.zeros(self._library.get_vocab_size(True), bool)
+        for token, i in self._library.get_vocab(False).items():
+            self._ends[i] = token.endswith("</w>")
         self._words: dict[str, bytes] = {}
+        self._parts: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _apart(self, parts: list[str]) -> dict[str, bytes] | None:
+        """Each pre-token's ids; None if the ids do not fall apart into as many."""
+        raw = self._encode([" ".join(parts)])[0]
+        ends = np.flatnonzero(self._ends[np.frombuffer(raw, "<u4")]) + 1
+        if len(ends) != len(parts):
+            return None
+        return {p: raw[4 * a : 4 * b] for p, a, b in zip(parts, [0, *ends[:-1].tolist()], ends.tolist())}
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -60,7 +80,17 @@ class WordEncoder:
             return b"".join(map(known.__getitem__, words))
         except KeyError:
             rest = list({w for w in words if w not in known})
-        new = dict(zip(rest, self._encode(rest)))
+        parts = {w: self._split(w.lower()) for w in rest}
+        have, unknown = self._parts, list({p for ps in parts.values() for p in ps if p not in self._parts})
+        if unknown:
+            learnt = self._apart(unknown)
+            if learnt is None:
+                return self._encode([text])[0]
+            if len(have) < CACHE_ENTRIES:
+                have.update(learnt)
+            else:
+                have = ChainMap(learnt, have)
+        new = {w: b"".join([have[p] for p in ps]) for w, ps in parts.items()}
         out = b"".join([known[w] if w in known else new[w] for w in words])
         if len(known) < CACHE_ENTRIES:  # fills once and then stays: frequent words come early
             known.update((w, i) for w, i in new.items() if len(w) <= CACHE_CHARS)
