@@ -29,6 +29,7 @@ FIT_DOCUMENTS = 200_000
 PRIOR_DOCUMENTS, LEAST_Z, LEAST_EVALUE = 4.0, 4.0, 0.05
 STARTS = (7, 6, 5, 4, 3)
 FLUSH = 400_000
+CACHE_ENTRIES = 300_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -43,19 +44,25 @@ class ToxicModel:
     scale: float
     weights: tuple[float, float, float]
 
-    def __post_init__(self):
-        self._heads = {w.rstrip("*")[: min(STARTS)] for w in self.lexicon}
+    def odds(self, word: str) -> float:
+        """The word's longest entry; 0 without one."""
+        for key in (word, *(word[:n] + "*" for n in STARTS if len(word) >= n)):
+            if key in self.lexicon:
+                return self.lexicon[key]
+        return 0.0
 
     def hits(self, words: list[str]) -> list[tuple[int, float]]:
-        heads, least = self._heads, min(STARTS)
+        if not hasattr(self, "_known"):
+            self._known = _Odds(self)
+        scores = list(map(self._known.__getitem__, words))
+        if not any(scores):
+            return []
         out, before = [], {}
-        for i in [i for i, w in enumerate(words) if w[:least] in heads]:
-            w = words[i]
-            for key in (w, *(w[:n] + "*" for n in STARTS if len(w) >= n)):
-                if key in self.lexicon:
-                    before[w] = before.get(w, 0) + 1
-                    out.append((i, self.lexicon[key] / before[w]))
-                    break
+        for i, s in enumerate(scores):
+            if s:
+                w = words[i]
+                before[w] = before.get(w, 0) + 1
+                out.append((i, s / before[w]))
         return out
 
     def segments(self, hits: list[tuple[int, float]]) -> list[tuple[int, int, float]]:
@@ -90,6 +97,19 @@ class ToxicModel:
         return _logistic(self.weights, features(found)), [f for f in found if f[3] <= math.log(LEAST_EVALUE)]
 
 
+class _Odds(dict):
+    """Odds of words met; fills once and then stays, as frequent words come early."""
+
+    def __init__(self, model: ToxicModel):
+        self.model = model
+
+    def __missing__(self, word: str) -> float:
+        odds = self.model.odds(word)
+        if len(self) < CACHE_ENTRIES:
+            self[word] = odds
+        return odds
+
+
 def features(found: list[tuple[int, int, float, float]]) -> tuple[float, float]:
     """Surprise of the best segment (minus log of its expected number, within bounds), and how many are significant."""
     best = min((f[3] for f in found), default=math.inf)
