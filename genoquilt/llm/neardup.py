@@ -9,8 +9,8 @@ candidate groups; every group is then decided on the full sets, all pairs of it,
 on its exact similarity alone. Groups beyond a block's size are compared block by block with shared pivots, and
 documents that do not hang together with the pivots are compared with all blocks. Links become components.
 
-A pair at the threshold of 0.8 misses a tree's first branching with probability 0.2 or 0.04, so all of twelve
-trees with less than 1e-8; within large nodes a tree keeps such a pair to the last level about every other time.
+A pair at the threshold of 0.8 misses a tree's first branching with probability 0.2 or 0.04, 0.16 on average, so all of
+eight trees with less than 1e-6; within large nodes a tree keeps such a pair to the last level about every other time.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from .common import cut
 from .graph import components
 
 SIGNATURE = 64
-TREES, DEPTH, SMALL_NODE = 12, 6, 48
+TREES, DEPTH, SMALL_NODE = 8, 6, 48
 #: Pairs whose signatures agree in a smaller share are not candidates: at 0.8, 64 coordinates and four deviations.
 ESTIMATE_MARGIN = 0.2
 BLOCK = 192
