@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, cut, shuffle_partitions
 
-CACHE_ENTRIES = 300_000
+#: Words and pre-tokens that a worker remembers at most, some 250 bytes each.
+CACHE_ENTRIES = 700_000
 CACHE_CHARS = 40
 #: Runs sent to every task at most (40 bytes each); beyond that they are joined instead.
 MAX_BROADCAST_RUNS = 1_000_000
