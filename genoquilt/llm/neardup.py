@@ -36,6 +36,8 @@ BLOCK = 192
 DENSE = 0.75
 #: Blocks beyond this compare signatures before sets.
 FEW = 16
+#: Documents outside their group's largest component meet the group in parts of this many documents and bytes of sets.
+PART, PART_BYTES = 1024, 16 << 20
 CACHE_ENTRIES = 400_000
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -282,7 +284,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     sketches = cut(rows.mapInArrow(_sketch_udf(k), "doc long, n long, d1 long, d2 long, sig binary"), "sketches")
     full = sketches.where("n > 0 and doc is not null")
-    classes = cut(full.groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.first("sig").alias("sig")), "classes")
+    classes = cut(full.groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.first("sig").alias("sig"), F.first("n").alias("n")), "classes")
     reps = classes.select(F.col("rep").alias("doc"), "sig")
     links = components(_candidate_links(reps, trees, depth, percent / 100 - ESTIMATE_MARGIN))
     clusters = cut(links.select(F.col("node").alias("doc"), F.col("component").alias("cluster")), "clusters")
@@ -308,9 +310,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
         main = own.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("cluster").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
         apart = cut(own.join(main, "cluster").where("component <> main").select("doc", "cluster", "blocks"), "apart")
         if not apart.isEmpty():
-            subs = apart.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("subs"))
-            guests = apart.join(subs, "cluster").select("doc", "cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("doc", F.lit(5)), F.col("subs")).cast("int").alias("sub"), F.lit(True).alias("asks"))
-            hosts = inside.join(subs, "cluster").select("doc", "cluster", "block", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), F.lit(False).alias("asks"))
+            size = F.greatest(F.ceil(F.count(F.lit(1)) / PART), F.ceil(F.sum("n") * 8 / PART_BYTES)).cast("int")
+            parts = inside.join(classes.select(F.col("rep").alias("doc"), "n"), "doc").groupBy("cluster").agg(size.alias("parts"))
+            own_part, all_parts = lambda seed: F.pmod(F.xxhash64("doc", F.lit(seed)), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+            guests = apart.join(parts, "cluster").select("doc", "cluster", all_parts.alias("block"), own_part(5).alias("sub"), F.lit(True).alias("asks"))
+            hosts = inside.join(parts, "cluster").select("doc", "cluster", own_part(9).alias("block"), all_parts.alias("sub"), F.lit(False).alias("asks"))
             found = components(held.unionByName(_decided(sets, guests.unionByName(hosts), percent)))
     by_class = classes.select("d1", "d2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("least"))
     out = sketches.select("doc", "n", "d1", "d2").join(by_class, ["d1", "d2"], "left")
