@@ -72,6 +72,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, curves: int = CURVES, win
     dtype = np.dtype("<f4" if narrow else "<f8")
     ok = vectors.where(F.col(id_col).isNotNull() & is_finite_vector(F.col(vec_col)) & F.exists(vec_col, lambda x: x != 0))
     base = ok.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>" if narrow else "array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    base = base.groupBy("id", "v").agg(F.max("asks").alias("asks"))
 
     fit = {}
     for r in base.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).collect():
@@ -120,14 +121,16 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, curves: int = CURVES, win
     half = F.ceil(F.col("rows") * F.lit(window / 2))
     block = F.floor(F.col("rank") / BLOCK_ROWS)
     copies = max(1, -(-int(max(counts.values()) * window + 2 * BLOCK_ROWS) * asked // (sum(counts.values()) * BLOCK_QUERIES)))
-    here = ranked.select("curve", "dim", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), "id", F.lit(False).alias("asks"), "v")
+    ranked = ranked.withColumn("h", F.xxhash64("v"))  # tells vectors of one id apart
+    here = ranked.select("curve", "dim", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), "id", F.lit(False).alias("asks"), "v", "h")
     reach = F.sequence(F.floor(F.greatest(F.col("rank") - half, F.lit(0)) / BLOCK_ROWS), F.floor(F.least(F.col("rank") + half, F.col("rows") - 1) / BLOCK_ROWS))
-    seek = ranked.where("asks").select("curve", "dim", F.explode(reach).alias("block"), F.pmod(F.xxhash64("id"), F.lit(copies)).cast("int").alias("copy"), "id", F.lit(True).alias("asks"), "v")
+    seek = ranked.where("asks").select("curve", "dim", F.explode(reach).alias("block"), F.pmod(F.xxhash64("id"), F.lit(copies)).cast("int").alias("copy"), "id", F.lit(True).alias("asks"), "v", "h")
 
     def near(tab: pa.Table) -> pa.Table:
         ids, asks = tab.column("id").to_numpy(), tab.column("asks").to_numpy()
         x = np.frombuffer(b"".join(tab.column("v").to_pylist()), dtype).reshape(len(ids), -1).astype(float)
-        base_ids, base_x, out = ids[~asks], x[~asks], ([], [], [])
+        base_ids, base_x, out = ids[~asks], x[~asks], ([], [], [], [])
+        base_h = tab.column("h").to_numpy()[~asks]
         for q, v in zip(ids[asks], x[asks]):
             gap = base_x - v
             dist = np.sqrt((gap * gap).sum(1))
@@ -135,13 +138,13 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, curves: int = CURVES, win
             keep = np.arange(len(dist))
             if len(dist) > 4 * k:
                 keep = np.flatnonzero(dist <= np.partition(dist, k - 1)[k - 1])
-            keep = keep[np.lexsort((base_ids[keep], dist[keep]))][: 2 * k]
+            keep = keep[np.lexsort((base_ids[keep], dist[keep]))][:k]
             keep = keep[np.isfinite(dist[keep])]
-            for o, c in zip(out, (np.full(len(keep), q), base_ids[keep], dist[keep])):
+            for o, c in zip(out, (np.full(len(keep), q), base_ids[keep], base_h[keep], dist[keep])):
                 o.append(c)
-        cat = [np.concatenate(o) if o else np.zeros(0, t) for o, t in zip(out, (np.int64, np.int64, float))]
-        return pa.table({"query_id": pa.array(cat[0], pa.int64()), "vec_id": pa.array(cat[1], pa.int64()), "score": pa.array(cat[2], pa.float64())})
+        cat = [np.concatenate(o) if o else np.zeros(0, t) for o, t in zip(out, (np.int64, np.int64, np.int64, float))]
+        return pa.table({"query_id": pa.array(cat[0], pa.int64()), "vec_id": pa.array(cat[1], pa.int64()), "h": pa.array(cat[2], pa.int64()), "score": pa.array(cat[3], pa.float64())})
 
-    found = here.unionByName(seek).groupBy("curve", "dim", "block", "copy").applyInArrow(near, "query_id long, vec_id long, score double").dropDuplicates()
+    found = here.unionByName(seek).groupBy("curve", "dim", "block", "copy").applyInArrow(near, "query_id long, vec_id long, h long, score double").dropDuplicates()
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -91,3 +91,14 @@ def test_op4_recall_over_many_blocks(spark, monkeypatch):
         hit += len(want & {r["vec_id"] for r in got if r["query_id"] == q})
         total += 10
     assert hit >= 0.9 * total
+
+
+def test_op4_repeated_rows_do_not_crowd_out(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(500, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    docs = spark.createDataFrame(rows + rows[7:8] * 100 + rows[50:51] * 30, "vec_id long, embedding array<double>").repartition(3)
+    got = ann.nearest(docs, F.col("vec_id") % 10 == 0).collect()
+    for q in range(0, 500, 10):
+        want = sorted((math.dist(x[q], w), i) for i, w in enumerate(x) if i != q)[:10]
+        assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [i for _, i in want]
