@@ -5,6 +5,10 @@ them by the Hilbert key of that point. Spark range-partitions the rows by (curve
 exact; a query meets the rows of the rank window around it, in blocks of a fixed number of rows, and the
 lists of all curves are merged and ranked by exact distance. The window is a share of the rows, so recall
 does not fall as a table grows; on data without structure that share has to be large.
+
+A row of the curves is a class: one vector with the k + 1 smallest ids that hold it, as many as any query can
+need of it. Exact copies thus take one place, and a class is searched once for all the queries in it. Classes of
+one key have an order of their own on each curve.
 """
 
 from __future__ import annotations
@@ -72,20 +76,28 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, curves: int = CURVES, win
     dtype = np.dtype("<f4" if narrow else "<f8")
     ok = vectors.where(F.col(id_col).isNotNull() & is_finite_vector(F.col(vec_col)) & F.exists(vec_col, lambda x: x != 0))
     base = ok.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>" if narrow else "array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    base = base.groupBy("id", "v").agg(F.max("asks").alias("asks"))
+    base = base.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0).cast("float" if narrow else "double")))  # -0.0 is 0.0
+    marks = {"a": F.xxhash64("v"), "b": F.xxhash64(F.lit(1), "v")}  # two hashes of the vector name its class
+    asking = base.where("asks").select("id", "v").distinct()
+    least = base.select("id", "v").distinct().withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)
+    classes = least.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    classes = classes.join(asking.select("v", F.lit(True).alias("asks")).distinct(), "v", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    classes = cut(classes.withColumns(marks), "classes")
 
     fit = {}
-    for r in base.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).collect():
+    for r in classes.select("v").orderBy("a", "b").limit(FIT_ROWS).collect():
         fit.setdefault(len(r["v"]), []).append(r["v"])
     frames = {d: (a := directions(d, curves, DIRECTIONS, seed), lo := (p := np.einsum("cpd,nd->cpn", a[0], np.array(v, float))).min(2), np.maximum(p.max(2) - lo, 1e-300)) for d, v in fit.items()}
 
+    mixers = np.random.default_rng(seed).integers(-(2**62), 2**62, curves) * 2 + 1
+
     def keys(batches):
         known = dict(frames)
         for batch in batches:
             lists = batch.column("v")
             sizes, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
             starts = np.concatenate([[0], np.cumsum(sizes)])[:-1].astype(int)
-            ids, asks = batch.column("id").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False)
+            a_, b_ = batch.column("a").to_numpy(), batch.column("b").to_numpy()
             for d in np.unique(sizes).tolist():
                 rows = np.flatnonzero(sizes == d)
                 x = flat[starts[rows][:, None] + np.arange(d)]
@@ -96,13 +108,15 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, curves: int = CURVES, win
                 for c in range(curves):
                     p = np.clip((x.astype(float) @ a[c].T - lo[c]) / span[c], 0, 1) / 1.5 + shift[c] / 1.5
                     key = hilbert_keys((p * (2**BITS - 1)).astype(np.int64), BITS)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), c, np.int32)), pa.array(np.full(len(rows), d, np.int32)), pa.array(key), pa.array(ids[rows]), pa.array(asks[rows]), pa.array(raw, pa.binary())], names=["curve", "dim", "key", "id", "asks", "v"])
+                    mix = a_[rows] * mixers[c]  # wraps; the order within a key differs between curves
+                    same = [batch.column(n).take(pa.array(rows)) for n in ("ids", "asks")]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), c, np.int32)), pa.array(np.full(len(rows), d, np.int32)), pa.array(key), pa.array(mix), pa.array(a_[rows]), pa.array(b_[rows]), *same, pa.array(raw, pa.binary())], names=["curve", "dim", "key", "mix", "a", "b", "ids", "asks", "v"])
 
-    counts = {r["d"]: r["n"] for r in base.groupBy(F.size("v").alias("d")).count().withColumnRenamed("count", "n").collect()}  # a row a length
-    asked = base.where("asks").count()
+    counts = {r["d"]: r["n"] for r in classes.groupBy(F.size("v").alias("d")).count().withColumnRenamed("count", "n").collect()}  # a row a length
+    asked = classes.where("asks").count()
     parts = max(1, -(-sum(counts.values()) * curves // (4 * BLOCK_ROWS)))
-    order = ["curve", "dim", "key", "id", "v"]
-    rows = base.mapInArrow(keys, "curve int, dim int, key long, id long, asks boolean, v binary").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    order = ["curve", "dim", "key", "mix", "b"]
+    rows = classes.mapInArrow(keys, "curve int, dim int, key long, mix long, a long, b long, ids array<long>, asks boolean, v binary").repartitionByRange(parts, *order).sortWithinPartitions(*order)
     rows = cut(rows.withColumn("at", F.monotonically_increasing_id()), "curves")
 
     part = F.shiftright("at", 33)
@@ -121,30 +135,46 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, curves: int = CURVES, win
     half = F.ceil(F.col("rows") * F.lit(window / 2))
     block = F.floor(F.col("rank") / BLOCK_ROWS)
     copies = max(1, -(-int(max(counts.values()) * window + 2 * BLOCK_ROWS) * asked // (sum(counts.values()) * BLOCK_QUERIES)))
-    ranked = ranked.withColumn("h", F.xxhash64("v"))  # tells vectors of one id apart
-    here = ranked.select("curve", "dim", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), "id", F.lit(False).alias("asks"), "v", "h")
+    here = ranked.select("curve", "dim", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), "a", "b", "ids", F.lit(False).alias("asks"), "v")
     reach = F.sequence(F.floor(F.greatest(F.col("rank") - half, F.lit(0)) / BLOCK_ROWS), F.floor(F.least(F.col("rank") + half, F.col("rows") - 1) / BLOCK_ROWS))
-    seek = ranked.where("asks").select("curve", "dim", F.explode(reach).alias("block"), F.pmod(F.xxhash64("id"), F.lit(copies)).cast("int").alias("copy"), "id", F.lit(True).alias("asks"), "v", "h")
+    seek = ranked.where("asks").select("curve", "dim", F.explode(reach).alias("block"), F.pmod("a", F.lit(copies)).cast("int").alias("copy"), "a", "b", F.expr("cast(array() as array<long>)").alias("ids"), F.lit(True).alias("asks"), "v")
 
     def near(tab: pa.Table) -> pa.Table:
-        ids, asks = tab.column("id").to_numpy(), tab.column("asks").to_numpy()
-        x = np.frombuffer(b"".join(tab.column("v").to_pylist()), dtype).reshape(len(ids), -1).astype(float)
-        base_ids, base_x, out = ids[~asks], x[~asks], ([], [], [], [])
-        base_h = tab.column("h").to_numpy()[~asks]
-        for q, v in zip(ids[asks], x[asks]):
+        """For each asking class the pairs (id, class) up to its k + 1 nearest ids, of an id the k nearest pairs:
+        whichever id asks, its own pairs can go and k are left."""
+        asks = tab.column("asks").to_numpy()
+        x = np.frombuffer(b"".join(tab.column("v").to_pylist()), dtype).reshape(len(asks), -1).astype(float)
+        a, b = tab.column("a").to_numpy(), tab.column("b").to_numpy()
+        ids, base_x, base_a, out = tab.column("ids").filter(pa.array(~asks)).to_pylist(), x[~asks], a[~asks], ([], [], [], [], [])
+        for qa, qb, v in zip(a[asks].tolist(), b[asks].tolist(), x[asks]):
             gap = base_x - v
             dist = np.sqrt((gap * gap).sum(1))
-            dist[base_ids == q] = np.inf
-            keep = np.arange(len(dist))
-            if len(dist) > 4 * k:
-                keep = np.flatnonzero(dist <= np.partition(dist, k - 1)[k - 1])
-            keep = keep[np.lexsort((base_ids[keep], dist[keep]))][:k]
-            keep = keep[np.isfinite(dist[keep])]
-            for o, c in zip(out, (np.full(len(keep), q), base_ids[keep], base_h[keep], dist[keep])):
-                o.append(c)
-        cat = [np.concatenate(o) if o else np.zeros(0, t) for o, t in zip(out, (np.int64, np.int64, np.int64, float))]
-        return pa.table({"query_id": pa.array(cat[0], pa.int64()), "vec_id": pa.array(cat[1], pa.int64()), "h": pa.array(cat[2], pa.int64()), "score": pa.array(cat[3], pa.float64())})
-
-    found = here.unionByName(seek).groupBy("curve", "dim", "block", "copy").applyInArrow(near, "query_id long, vec_id long, h long, score double").dropDuplicates()
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            most = k + 1
+            while True:
+                keep = np.flatnonzero(dist <= np.partition(dist, most - 1)[most - 1]) if most < len(dist) else np.arange(len(dist))
+                pairs = sorted((dist[c], i, base_a[c]) for c in keep.tolist() for i in ids[c])
+                if most >= len(dist) or len({i for _, i, _ in pairs}) > k:
+                    break
+                most *= 4
+            seen = {}
+            for d, i, h in pairs:
+                if i not in seen and len(seen) > k:
+                    break
+                seen[i] = seen.get(i, 0) + 1
+                if seen[i] <= k:
+                    for o, c in zip(out, (qa, qb, i, h, d)):
+                        o.append(c)
+        cat = [pa.array(o, pa.float64() if n == 4 else pa.int64()) for n, o in enumerate(out)]
+        return pa.table(cat, names=["a", "b", "vec_id", "h", "score"])
+
+    # Lists of all blocks: an id once with its k nearest pairs, a class's k + 1 nearest ids, in one row.
+    found = here.unionByName(seek).groupBy("curve", "dim", "block", "copy").applyInArrow(near, "a long, b long, vec_id long, h long, score double")
+    found = found.groupBy("a", "b", "vec_id").agg(F.slice(F.array_sort(F.collect_set(F.struct("score", "vec_id", "h"))), 1, k).alias("pairs"))
+    best = Window.partitionBy("a", "b").orderBy(F.col("pairs")[0]["score"], "vec_id")
+    lists = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).groupBy("a", "b").agg(F.array_sort(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+
+    # The ids that ask each take their class's list without themselves; those of a common vector are many, so nothing is grouped by class here.
+    answers = asking.select(F.col("id").alias("query_id"), *[c.alias(n) for n, c in marks.items()]).join(lists, ["a", "b"])
+    answers = answers.select("query_id", F.explode(F.slice(F.filter("pairs", lambda p: p["vec_id"] != F.col("query_id")), 1, k)).alias("p")).distinct()
+    nearest_ = Window.partitionBy("query_id").orderBy("p.score", "p.vec_id")
+    return answers.withColumn("rank", F.row_number().over(nearest_)).where(F.col("rank") <= k).select("query_id", "rank", F.col("p.vec_id").alias("vec_id"), F.col("p.score").alias("score"))

@@ -102,3 +102,25 @@ def test_op4_repeated_rows_do_not_crowd_out(spark):
     for q in range(0, 500, 10):
         want = sorted((math.dist(x[q], w), i) for i, w in enumerate(x) if i != q)[:10]
         assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [i for _, i in want]
+
+
+def test_op4_exact_copies_in_a_third_of_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 8)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 32))
+    copies = rng.permutation(3000)[:1000]
+    x[copies] = x[copies[0]]
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(docs, F.col("vec_id") % 50 == 0).collect()
+    hit, total, among = 0, 0, set(copies.tolist())
+    for q in range(0, 3000, 50):
+        d = np.linalg.norm(x - x[q], axis=1)
+        want = [i for i in np.lexsort((np.arange(3000), d)).tolist() if i != q][:10]
+        found = [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q]
+        assert len(found) == 10
+        if q in among:
+            assert found == want  # the smallest ids of its copies
+        hit += len(set(want) & set(found))
+        total += 10
+    assert hit >= 0.9 * total
