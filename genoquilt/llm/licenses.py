@@ -3,6 +3,9 @@
 The canonical form is lower case, drops copyright lines, spells equivalent words one way, and turns all
 but letters and digits into single spaces. Two units are looked up: the entire text, and each of its lines
 (a notice within a document). Only DataFrame expressions and one join with the bounded table of known forms.
+
+An entire text is looked up in a second form too, against full licence texts: this form drops copyright statements
+(a year, a sign or, at the start of a paragraph, a name after the word) and keeps other words that follow "copyright".
 """
 
 from __future__ import annotations
@@ -68,6 +71,85 @@ def canonical(text: Column) -> Column:
     return F.trim(out)
 
 
+#: Full texts of short licences, without titles and copyright statements, and the titles they go by.
+_MIT = next(t for i, t in NOTICES if t.startswith("MIT License")).split("\n\n", 2)[2]
+_0BSD = next(t for i, t in NOTICES if i == "0BSD")
+_ISC = _0BSD.replace("is hereby granted.", "is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.")
+_BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD = [
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+]
+_BSD_TAIL = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+
+
+def _bsd(clauses: int) -> list[str]:
+    """The text with numbered and with marked clauses, and with either number of the holder in the disclaimer."""
+    lists = [" ".join(f"{n + 1}. {c}" if numbered else c for n, c in enumerate(_BSD[:clauses])) for numbered in (True, False)]
+    return [f"{_BSD_HEAD} {x} {t}" for x in lists for t in (_BSD_TAIL, _BSD_TAIL.replace("HOLDER OR", "HOLDERS OR"), _BSD_TAIL.replace("HOLDER OR", "OWNER OR"))]
+
+
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_MORE = "For more information, please refer to <https://unlicense.org/>"
+
+TEXTS = [
+    ("MIT", ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"], [_MIT]),
+    ("0BSD", ["BSD Zero Clause License", "Zero-Clause BSD", "BSD-0-Clause License"], [_0BSD]),
+    ("ISC", ["ISC License", "The ISC License", "ISC License (ISC)"], [_ISC, _ISC.replace("and/or distribute", "and distribute")]),
+    ("BSD-2-Clause", ["BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License"], _bsd(2)),
+    ("BSD-3-Clause", ["BSD License", "BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License"], _bsd(3)),
+    ("Unlicense", ["The Unlicense", "Unlicense"], [_UNLICENSE, f"{_UNLICENSE} {_MORE}", f"{_UNLICENSE} {_MORE.rstrip('/>')}"]),
+]
+
+#: SHA-256 of the second form of long licence texts (Debian's /usr/share/common-licenses).
+DIGESTS: dict[str, str] = {
+    "bebc0974f0c6e7ff459bdb2f690fc5954a1b85721c2f8d4d14c1b1b36c95aeb4": "Apache-2.0",
+    "82c3372e6c46ee6860b6f7e8795385b2f852f6f2f09ec44ef6d48071f6f92c7b": "Apache-2.0",
+    "46511498b7f84d5e9cecb77e4ff892243bbc369402778c7b7718ff114a349b62": "Apache-2.0",
+    "795f9bb1bf2c1f6524cdb7fad0ead517490a53781c3a6f01c07e45da0e6c1687": "Artistic-1.0-Perl",
+    "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f": "CC0-1.0",
+    "b6270c129be9b0e0172ebf4f39b974d927f155b0569e6689a4fd15068977ecdd": "GFDL-1.2-only",
+    "7a546845f0b9175c013adbd275ab046668c2cd62fa85809f866f6d3218d6adcd": "GFDL-1.3-only",
+    "37f380f152339f34a15db620545eb53f0b5c7d9e6a9542aa09ed0d22f186920f": "GPL-1.0-only",
+    "ae2be2aaa68f5e52ef402874fc8c7c691879b445cb12e49d84f88168cc2d7dd6": "GPL-2.0-only",
+    "9c1d95c42937ba735a5bfd8101dc3e4d1ed596038b05f22be654e627c2ab4be2": "GPL-3.0-only",
+    "bea988245c65edbddad6f43ff12ca2472c232324e916d42648b90eac944d833e": "LGPL-2.0-only",
+    "ed875dac9045cba09a17867210991f3a4a82f80b82096b054560a3a8dae9d692": "LGPL-2.1-only",
+    "03537efc9e8cdf64e4b5cde6ce3c38e080e6acf7952692e0abe3616ac667ae0b": "LGPL-3.0-only",
+    "b3f4a3edd72ca8bda0e94a193ca6314cbc0e1d04d1f700b8b7668fef90edaaf4": "MPL-1.1",
+    "924fa60063e159c66ee97fcda078fd284a9679d65843a6fa3114b5716ee08415": "MPL-2.0",
+    "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651": "BSD-3-Clause",
+}
+
+#: Fixed value: a copyright statement of the lower-cased text, to the end of its line or to the words a licence begins with.
+STATEMENT = (
+    r"(?m)(?:(?:^|(?<=licen[sc]e[ )]))[ \t]*(?:copyright[ \t:]*(?:\(c\)|©|\d{4}|[<\[{(] ?(?:year|yyyy))|\(c\)[ \t]*(?:copyright|\d{4}|[<\[{(] ?(?:year|yyyy))|©)"
+    r"|(?:\A|(?<=\n\n))[ \t]*copyright[ \t:]+(?!(?:holders?|owners?|notices?|laws?|licen[sc]es?|interests?|statements?|and|or|in|of|is|on|to)\b)\p{L})"
+    r"[^\n]*?(?=permission is hereby granted|permission to use|redistribution and use|all rights reserved|licensed under the|$)(?:\s*all rights reserved\b)?"
+)
+
+
+def whole_form(text: Column) -> Column:
+    """The second form, of entire texts: as ``canonical``, but only copyright statements are dropped."""
+    out = F.regexp_replace(F.regexp_replace(F.lower(text), STATEMENT, " "), SEPARATOR, " ")
+    for a, b in [*SPELLINGS, ("https ", "http ")]:
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return F.trim(out)
+
+
+def text_digests(spark: SparkSession) -> dict[str, str]:
+    """Digest of the second form -> licence, for the full texts with each of their titles and without."""
+    rows = spark.createDataFrame([(i, f"{title}\n\n{body}") for i, titles, bodies in TEXTS for title in ["", *titles] for body in bodies], "license string, text string")
+    return DIGESTS | {r["digest"]: r["license"] for r in rows.select(F.sha2(whole_form(F.col("text")), 256).alias("digest"), "license").collect()}
+
+
 def known_digests(spark: SparkSession, notices: list[tuple[str, str]] = NOTICES) -> DataFrame:
     """(digest, license): one row a canonical form; its size is that of the given list."""
     rows = spark.createDataFrame(notices, "license string, text string")
@@ -77,7 +159,7 @@ def known_digests(spark: SparkSession, notices: list[tuple[str, str]] = NOTICES)
 def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_digest, text_license, line_licenses array<string>, n_lines long) for each row.
 
-    ``text_license``: the licence whose digest the entire text has, else null. ``line_licenses``: sorted distinct
+    ``text_license``: the licence whose digest the entire text has, in either form, else null. ``line_licenses``: sorted distinct
     licences of its lines, ``n_lines`` the number of lines that hit. A null text has null digest and no hits; a text
     or line without letters and digits hits nothing. Rows are kept as they are, repeated ones and null ids too.
 
@@ -86,8 +168,9 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
     table = {r["digest"]: r["license"] for r in known.collect()}
     empty = F.sha2(F.lit(""), 256)
     forms = F.create_map(*[F.lit(x) for pair in sorted(table.items()) for x in pair]) if table else F.expr("cast(map() as map<string,string>)")
+    texts = F.create_map(*[F.lit(x) for pair in sorted(text_digests(docs.sparkSession).items()) for x in pair])
     lines = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: F.sha2(canonical(x), 256))
     hits = F.filter(F.transform(lines, lambda d: F.try_element_at(forms, d)), lambda x: x.isNotNull())
-    out = docs.select(F.col(id_col).alias("id"), F.sha2(canonical(F.col(text_col)), 256).alias("text_digest"), hits.alias("hits"))
-    whole = F.when(F.col("text_digest") != empty, F.try_element_at(forms, F.col("text_digest")))
+    out = docs.select(F.col(id_col).alias("id"), F.sha2(canonical(F.col(text_col)), 256).alias("text_digest"), F.sha2(whole_form(F.col(text_col)), 256).alias("whole_digest"), hits.alias("hits"))
+    whole = F.when(F.col("text_digest") != empty, F.coalesce(F.try_element_at(forms, F.col("text_digest")), F.try_element_at(texts, F.col("whole_digest"))))
     return out.select(F.col("id").alias(id_col), "text_digest", whole.alias("text_license"), F.array_sort(F.array_distinct("hits")).alias("line_licenses"), F.size("hits").cast("long").alias("n_lines"))

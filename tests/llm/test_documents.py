@@ -3,6 +3,7 @@
 import json
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -219,3 +220,18 @@ def test_pipeline(spark, sf_dir):
     packed = corpus_pipeline.run(spark, sf_dir)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == want
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
+
+
+def test_op10_full_texts(spark):
+    bodies = {i: b[0] for i, _, b in licenses.TEXTS}
+    mit = bodies["MIT"]
+    wrapped = mit.replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS OR\nCOPYRIGHT HOLDERS")
+    rows = [("MIT", f"Copyright (c) 2020 A. Person\n\n{mit}"), ("MIT", f"The MIT License (MIT)\n\nCopyright 2020 A. Person\n\n{wrapped}"), ("MIT", f"MIT License Copyright (c) 2020 A. Person {' '.join(mit.split())}"), ("MIT", f"Copyright A. Person and others\n\n{mit}")]
+    rows += [(i, f"{title}\n\nCopyright (c) 2001, 2020, The Example Authors\nAll rights reserved.\n\n{b}") for i, titles, texts in licenses.TEXTS for title in ["", *titles] for b in texts]
+    common = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    paths = [(i, Path("/usr/share/common-licenses") / name) for name, i in common.items()]
+    rows += [(i, p.read_text()) for i, p in paths if p.exists()]
+    rows += [(None, mit.replace("COPYRIGHT HOLDERS BE LIABLE", "")), (None, f"{mit}\n\nMore words."), (None, f"Copyright holders of it\n\n{mit}"), (None, "Copyright (c) 2020 A. Person"), (None, None), (None, "")]
+    docs = spark.createDataFrame([(n, t) for n, (_, t) in enumerate(rows)], "doc_id int, text string")
+    got = {r["doc_id"]: r["text_license"] for r in licenses.scan_licenses(docs, licenses.known_digests(spark)).collect()}
+    assert [got[n] for n in range(len(rows))] == [i for i, _ in rows]
