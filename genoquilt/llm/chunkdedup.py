@@ -2,12 +2,14 @@
 
 A gear rolling hash over the last sixteen bytes places chunk ends at white space, so equal passages fall into
 equal chunks wherever they stand, and insertions shift only the chunks that they touch. Chunks are
-digested; of each digest the first occurrence by (document, place) stays. Where consecutive chunks of a document are later
-occurrences and together hold enough words, that span is a repeated passage.
+digested; of each digest the first occurrence by (document, place) stays. A later occurrence knows how its first one is
+aligned with it: in which document, how many bytes before. Where consecutive chunks of a document are later occurrences, and
+those of one alignment hold enough words, they span a repeated passage. Short chunks may have stood elsewhere
+before; they neither make nor break a span.
 
 Digests are 64 bits; a wrong span would need several consecutive collisions. Counting occurrences combines on
-the map side, so a chunk that stands in a third of all documents costs a row a task; looking them up is an
-equi-join that Spark's skew handling splits.
+the map side. Of later occurrences, those of the few digests that make a large share of all chunks meet their first one by a
+broadcast that this share bounds, all others by an equi-join.
 """
 
 from __future__ import annotations
@@ -17,10 +19,10 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, cut, fresh
+from .common import arrow_rows, cut, forget, fresh
 
 WINDOW = 16
 #: One white space in five ends a chunk; without any, a chunk ends after MAX_BYTES.
@@ -30,6 +32,8 @@ MIN_WORDS = 16
 _GEAR = np.random.default_rng(64).integers(0, 2**32, 256, np.uint32)
 _GEAR[0] = 0  # texts are joined by zero bytes
 _LENGTH_BITS = 16
+#: A digest with at least this share of all chunks is hot; there are at most 1 / HOT_SHARE of them.
+HOT_SHARE = 1 / 5000
 
 
 def chunk_ends(data: np.ndarray) -> np.ndarray:
@@ -63,46 +67,72 @@ def split(raw: bytes, ends: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _chunks(batches):
-    """(digest, doc, place): place is start << 16 | length."""
+    """(digest, doc, mark, place): place is start << 16 | length, and mark a hash of the text."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
-            raws = [(d, t.encode()) for d, t in zip(part.column("doc").to_pylist(), part.column("text").to_pylist()) if t]
-            ends = chunk_ends(np.frombuffer(b"".join(r + bytes(WINDOW) for _, r in raws), np.uint8)) if raws else np.zeros(0, np.int64)
-            digests, docs, places, base = [], [], [], 0
-            for doc, raw in raws:
+            raws = [(d, m, t.encode()) for d, m, t in zip(*(part.column(n).to_pylist() for n in ("doc", "mark", "text"))) if t]
+            ends = chunk_ends(np.frombuffer(b"".join(r + bytes(WINDOW) for _, _, r in raws), np.uint8)) if raws else np.zeros(0, np.int64)
+            digests, places, counts, base = [], [], [], 0
+            for _, _, raw in raws:
                 a, b = np.searchsorted(ends, (base + 1, base + len(raw)))
-                for s, e in split(raw, ends[a:b] - base):
-                    digests.append(xxhash.xxh3_64_intdigest(raw[s:e]))
-                    places.append(s << _LENGTH_BITS | e - s)
-                    docs.append(doc)
+                found = split(raw, ends[a:b] - base)
+                digests += [xxhash.xxh3_64_intdigest(raw[s:e]) for s, e in found]
+                places += [s << _LENGTH_BITS | e - s for s, e in found]
+                counts.append(len(found))
                 base += len(raw) + WINDOW
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(docs, pa.int64()), pa.array(places, pa.int64())], names=["digest", "doc", "place"])
+            docs, marks = (np.repeat(np.array([r[i] for r in raws], np.int64), counts) for i in (0, 1))
+            columns = [np.array(digests, np.uint64).view(np.int64), docs, marks.astype(np.int32), np.array(places, np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["digest", "doc", "mark", "place"])
+
+
+def _mark(text: Column) -> Column:
+    """32 bits that tell texts of one id apart."""
+    return F.hash(text)
 
 
 def later_occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, places array<long>) of the documents with chunks that stand earlier in the corpus too."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
-    chunks = rows.mapInArrow(_chunks, "digest long, doc long, place long")
-    first = chunks.groupBy("digest").agg(F.min("doc").alias("d0"), F.min_by("place", F.struct("doc", "place")).alias("p0"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = chunks.join(first.hint("merge"), "digest").where((F.col("doc") != F.col("d0")) | (F.col("place") != F.col("p0")))
-    return later.groupBy("doc").agg(F.collect_set("place").alias("places"))  # a document's own chunks: bounded by its text
-
-
-def spans(text: str, places: list[int] | None, min_words: int) -> list[tuple[int, int]]:
-    """Byte spans of repeated passages: runs of consecutive places that hold enough words. Places that do not lie
-    within the text (of another text with the same id) are left out."""
-    out, size = [], len(text.encode()) if places else 0
-    for p in sorted(places or ()):
-        s, e = p >> _LENGTH_BITS, (p >> _LENGTH_BITS) + (p & (1 << _LENGTH_BITS) - 1)
-        if e > size:
-            continue
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
+    """(doc, mark, places array<struct<place, along>>) of the documents with chunks that stand earlier in the corpus too;
+    ``along`` is the alignment with the first occurrence."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null").withColumn("mark", _mark(F.col("text")))
+    chunks = cut(rows.mapInArrow(_chunks, "digest long, doc long, mark int, place long"), "chunks")
+    at = F.struct("doc", "mark", "place")
+    first = cut(chunks.groupBy("digest").agg(F.min(at).alias("p0"), F.count(F.lit(1)).alias("n")).where("n > 1"), "first")
+    hot = F.col("n") >= max(1000, int(chunks.count() * HOT_SHARE))
+    dealt = chunks.join(F.broadcast(first.where(hot).select("digest", "p0")), "digest", "left")
+    rest = dealt.where("p0 is null").drop("p0").join(first.where(~hot).select("digest", "p0").hint("merge"), "digest")
+    later = dealt.where("p0 is not null").unionByName(rest).where(at != F.col("p0"))
+    start = lambda place: F.shiftright(place, _LENGTH_BITS)
+    along = F.xxhash64("p0.doc", "p0.mark", start(F.col("place")) - start(F.col("p0.place")))
+    found = later.select("doc", "mark", F.struct("place", along.alias("along")).alias("at"))
+    # a document's own chunks: bounded by its text, however often its row repeats
+    out = cut(found.groupBy("doc", "mark").agg(F.collect_set("at").alias("places")), "later")
+    forget(chunks, first)
+    return out
+
+
+def spans(text: str, places: list[dict] | None, min_words: int) -> list[tuple[int, int]]:
+    """Byte spans of repeated passages: within runs of consecutive places, from the first to the last chunk of each
+    alignment whose chunks hold enough words."""
+    out = []
+    raw = text.encode() if places else b""
+    run: dict[int, list[int]] = {}  # alignment -> start, end, words
+    reached = -1
+    for p in [*sorted(((p["place"] >> _LENGTH_BITS, p["place"] & (1 << _LENGTH_BITS) - 1, p["along"]) for p in places or ())), None]:
+        if p is None or p[0] != reached:
+            out += [(s, e) for s, e, words in run.values() if words >= min_words]
+            run = {}
+        if p is not None:
+            s, length, along = p
+            mine = run.setdefault(along, [s, s, 0])
+            mine[1], mine[2], reached = s + length, mine[2] + len(raw[s : s + length].split()), s + length
+    joined: list[tuple[int, int]] = []
+    for s, e in sorted(out):
+        if joined and s <= joined[-1][1]:
+            joined[-1] = (joined[-1][0], max(e, joined[-1][1]))
         else:
-            out.append((s, e))
-    raw = text.encode() if out else b""
-    return [(s, e) for s, e in out if len(raw[s:e].split()) >= min_words]
+            joined.append((s, e))
+    return joined
 
 
 def without(text: str, cuts: list[tuple[int, int]]) -> str:
@@ -115,18 +145,20 @@ def without(text: str, cuts: list[tuple[int, int]]) -> str:
 
 def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` with the document's places as the last column, whatever the others are called."""
-    found = cut(later_occurrences(docs, id_col, text_col), "later")
-    found = found.toDF(fresh(docs, "_doc"), fresh(docs, "_places"))
-    return docs.join(found.hint("merge"), docs[id_col].cast("long") == found[found.columns[0]], "left").drop(found.columns[0])
+    doc, mark, places = (fresh(docs, n) for n in ("_doc", "_mark", "_places"))
+    found = later_occurrences(docs, id_col, text_col).toDF(doc, mark, places)
+    same = (docs[id_col].cast("long") == found[doc]) & (_mark(docs[text_col]) == found[mark])
+    return docs.join(found.hint("merge"), same, "left").drop(doc, mark)
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes long, n_spans long, repeated_bytes long, spans array<struct<start,end>>, kept_sha256 string) for each
     row: byte spans that repeat an earlier passage, and the digest of the text without them.
 
-    The earliest occurrence by (id, place) is no repetition. Null and empty texts have 0 bytes and no spans; rows with
-    a null id are left whole and not compared; rows that share an id count as one document, so a repeated row
-    is not removed. An empty table gives no rows.
+    A document is an id with a text: rows that repeat both count once, so a repeated row is not removed, and rows that
+    share an id but not the text are documents of their own, ordered by a hash of the text. The earliest
+    occurrence by (id, text, place) is no repetition. Null and empty texts have 0 bytes and no spans; rows with
+    a null id are left whole and not compared. Other columns are ignored. An empty table gives no rows.
     """
     schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_sha256", pa.string())])
 
@@ -134,25 +166,29 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
         def apply(rows):
             texts = [t or "" for t in rows["text"]]
             cuts = [spans(t, p, min_words) for t, p in zip(texts, rows["_places"])]
-            return {"id": rows["id"], "n_bytes": [len(t.encode()) for t in texts], "spans": [[{"start": s, "end": e} for s, e in c] for c in cuts], "kept_sha256": [hashlib.sha256(without(t, c).encode()).hexdigest() for t, c in zip(texts, cuts)]}
+            kept = [hashlib.sha256(without(t, c).encode()).hexdigest() for t, c in zip(texts, cuts)]
+            return {"id": rows["id"], "n_bytes": [len(t.encode()) for t in texts], "spans": [[{"start": s, "end": e} for s, e in c] for c in cuts], "kept_sha256": kept}
 
         return apply
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    out = _joined(slim, "id", "text").mapInArrow(arrow_rows(make, schema, 512), "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept_sha256 string")
+    out = _joined(slim, "id", "text").mapInArrow(arrow_rows(make, schema, 256), "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept_sha256 string")
     repeated = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return out.select(F.col("id").alias(id_col), "n_bytes", F.size("spans").cast("long").alias("n_spans"), repeated.alias("repeated_bytes"), "spans", "kept_sha256")
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the repeated passages cut out of their texts; all rows and other columns stay. Cases as above."""
+    """``docs`` with the repeated passages cut out of their texts; all rows and other columns stay. Cases as above; a null
+    text stays null."""
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
-            texts, places = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-            texts = [without(t, spans(t, p, min_words)) if t and p else t for t, p in zip(texts, places)]
-            cols = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:-1])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                batch = whole.slice(lo, 256)
+                texts, places = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+                texts = [without(t, spans(t, p, min_words)) if t and p else t for t, p in zip(texts, places)]
+                cols = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays(cols, names=whole.schema.names[:-1])
 
     return _joined(docs, id_col, text_col).mapInArrow(run, docs.schema)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -12,9 +15,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset and Spark runs in this process
+    alone (tests), one of our own; on several hosts an error, as a local folder would not be shared."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="genoquilt-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -22,11 +29,70 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back: later stages neither recompute
-    it nor lose it with an executor."""
+    it nor lose it with an executor. ``forget`` deletes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/genoquilt/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that ``cut`` wrote, once nothing that is still to run reads them."""
+    for df in tables:
+        if path := getattr(df, "_cut_at", None):
+            hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
+
+
+# -- memory of Python workers ------------------------------------------------------------------------
+class Bounded(dict):
+    """A dictionary that takes entries until they weigh ``limit`` bytes by ``weigh(key, value)``. It fills once and then
+    stays, as frequent keys come early, until its operator's turn in this worker ends (see ``hold``)."""
+
+    def __init__(self, limit: int, weigh: Callable):
+        self.room, self.weigh = limit, weigh
+
+    def keep(self, key, value) -> None:
+        if self.room > 0:
+            self.room -= self.weigh(key, value)
+            self[key] = value
+
+
+class Remembered(Bounded):
+    """key -> compute(key), remembered as far as there is room."""
+
+    def __init__(self, compute: Callable, limit: int, weigh: Callable):
+        super().__init__(limit, weigh)
+        self.compute = compute
+
+    def __missing__(self, key):
+        value = self.compute(key)
+        self.keep(key, value)
+        return value
+
+
+_held: dict[str, Callable[[], None]] = {}
+
+
+def hold(owner: str, drop: Callable[[], None]) -> None:
+    """Says that ``owner`` holds memory in this Python worker from now on, and that ``drop`` frees it. Spark reuses workers for
+    all stages, so what other operators hold is freed first: a worker has one operator's caches at a time."""
+    others = [name for name in _held if name != owner]
+    for name in others:
+        _held.pop(name)()
+    _held[owner] = drop
+    if others:
+        trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -1,7 +1,7 @@
 """MinHash near-duplicates by chosen-path set similarity join.
 
-Documents are sets of word shingles. Equal sets collapse first. Then several independent trees branch the rest:
-a node of a tree selects one or two coordinates of the MinHash signature, and a document goes to the child that
+Documents are sets of word shingles. Equal sets collapse first into classes. Then several independent trees branch the
+classes: a node of a tree selects one or two coordinates of the MinHash signature, and a document goes to the child that
 its minwise token there names. Nodes of few documents are compared exhaustively and branch no further;
 larger ones branch on, to a fixed depth, unless a child keeps most of its parent's documents: these are alike, and
 form a group as they are. Pairs whose signatures agree well enough inside a node join
@@ -9,8 +9,10 @@ candidate groups; every group is then decided on the full sets, all pairs of it,
 on its exact similarity alone. Groups beyond a block's size are compared block by block with shared pivots, and
 documents outside the group's largest component are then compared with all blocks. Links become components.
 
-A pair at the threshold of 0.8 misses a tree's first branching with probability 0.2 or 0.04, 0.16 on average, so all of
-eight trees with less than 1e-6; within large nodes a tree keeps such a pair to the last level about every other time.
+Recall: a pair at the threshold of 0.8 misses a tree's first branching with probability 0.2 or 0.04, 0.16 on average, so
+all of eight trees with less than 1e-6. In nodes too large to be compared it is kept to the twelfth level with probability
+0.32 a tree (all trees miss it with 0.05), unless both ends meet in a smaller or denser node before. Signatures of such a
+pair agree in fewer than 35 of 64 coordinates with a probability of 1e-6, and only small nodes look at signatures.
 """
 
 from __future__ import annotations
@@ -20,25 +22,28 @@ import functools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Remembered, cut, forget, fresh, hold
 from .graph import components
 
 SIGNATURE = 64
 TREES, DEPTH, SMALL_NODE = 8, 12, 48
-#: Pairs whose signatures agree in a smaller share are not candidates: at 0.8, 64 coordinates and four deviations.
-ESTIMATE_MARGIN = 0.2
+#: Pairs whose signatures agree in a smaller share are not candidates: at 0.8, 64 coordinates and five deviations.
+ESTIMATE_MARGIN = 0.25
 BLOCK = 192
 #: A child with this share of its parent's documents does not branch further. Copies at 0.8 of one text keep 0.89 of
 #: its tokens; documents that share a passage fall below and branch on.
 DENSE = 0.75
-#: Blocks beyond this compare signatures before sets.
-FEW = 16
 #: Documents outside their group's largest component meet the group in parts of this many documents and bytes of sets.
-PART, PART_BYTES = 1024, 16 << 20
-CACHE_ENTRIES = 400_000
+PART, PART_BYTES = 1024, 8 << 20
+#: Distinct shingles that one product of a block's incidence matrix takes.
+SHINGLES = 4096
+#: A group's or node's size is looked up by its members' key and one of these salts, so a hot one is dealt out.
+SALTS = 8
+#: Bytes of word hashes that a worker remembers.
+CACHE_BYTES = 32 << 20
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -49,19 +54,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Words(dict):
-    """word -> hash; fills once and then stays, as frequent words come early."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < CACHE_ENTRIES:
-            self[word] = h
-        return h
-
-
 @functools.lru_cache(maxsize=1)
-def _words() -> _Words:
-    return _Words()
+def _words() -> Remembered:
+    """word -> hash."""
+    return Remembered(xxhash.xxh3_64_intdigest, CACHE_BYTES, lambda word, _: 170 + len(word))
 
 
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
@@ -107,7 +103,10 @@ def signatures(sets: list[np.ndarray], t: int = SIGNATURE) -> np.ndarray:
 
 
 def _sketch_udf(k: int):
+    """(doc, t1, t2) as they are, with the set's size, digest (d1, d2) and signature."""
+
     def run(batches):
+        hold("neardup", _words.cache_clear)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -119,7 +118,9 @@ def _sketch_udf(k: int):
                         sig[i] = row.tobytes()
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([len(s) for s in sets], pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(sig, pa.binary())], names=["doc", "n", "d1", "d2", "sig"])
+                names = ["doc", "t1", "t2"]
+                own = [pa.array([len(s) for s in sets], pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(sig, pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + own, names=[*names, "n", "d1", "d2", "sig"])
 
     return run
 
@@ -196,6 +197,12 @@ def _likely(least: float):
     return run
 
 
+def _spread_join(members: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """``members`` with the columns of their key's row in ``one``. A key's members go to SALTS tasks, by document."""
+    salted = one.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return members.withColumn("salt", F.pmod(F.xxhash64("doc", F.lit(3)), F.lit(SALTS)).cast("int")).join(salted, [key, "salt"]).drop("salt")
+
+
 def _candidate_links(reps: DataFrame, trees: int, depth: int, least: float) -> DataFrame:
     """Links between documents that may be similar: (a, b)."""
     members = reps.mapInArrow(_first_children(trees), "node long, doc long").withColumn("above", F.lit(reps.count()))
@@ -204,12 +211,15 @@ def _candidate_links(reps: DataFrame, trees: int, depth: int, least: float) -> D
         if level > 1:
             members = cut(members, "children")
         counts = members.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-        sized = cut(members.join(counts, "node"), "members")
+        last = members
+        sized = cut(_spread_join(members, counts, "node"), "members")
+        if level > 1:
+            forget(last)
         lists.append(sized.where(F.col("c") <= SMALL_NODE).groupBy("node").agg(F.sort_array(F.collect_list("doc")).alias("docs")).select("docs"))
         big = sized.where(F.col("c") > SMALL_NODE)
         ends = F.col("c") >= DENSE * F.col("above") if level < depth else F.lit(True)
         heads = big.where(ends).groupBy("node").agg(F.min("doc").alias("a"))
-        stars.append(big.where(ends).join(heads, "node").where("a <> doc").select("a", F.col("doc").alias("b")))
+        stars.append(_spread_join(big.where(ends), heads, "node").where("a <> doc").select("a", F.col("doc").alias("b")))
         big = big.where(~ends)
         if level == depth or big.isEmpty():
             break
@@ -228,6 +238,7 @@ def _candidate_links(reps: DataFrame, trees: int, depth: int, least: float) -> D
 
 def _full_sets(k: int):
     def run(batches):
+        hold("neardup", _words.cache_clear)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -237,33 +248,55 @@ def _full_sets(k: int):
     return run
 
 
+def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets at ``left`` with those at ``right``: products of incidence matrices, some
+    thousand distinct shingles at a time."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    column = np.cumsum(np.concatenate([[False], flat[1:] != flat[:-1]]), dtype=np.int32)
+    del flat, order
+    shared = np.bincount(column)[column] > 1  # a shingle of one document meets none
+    owner, column = owner[shared], column[shared]
+    if not len(owner):
+        return out
+    column = np.cumsum(np.concatenate([[0], column[1:] != column[:-1]]))
+    for lo in range(0, int(column[-1]) + 1, SHINGLES):
+        a, b = np.searchsorted(column, (lo, lo + SHINGLES))
+        held = np.zeros((len(sets), SHINGLES), np.float32)
+        held[owner[a:b], column[a:b] - lo] = 1
+        out += (held[left] @ held[right].T).astype(np.int64)
+    return out
+
+
 def _linker(percent: int):
-    """All pairs of a block on their full sets; pairs already connected are skipped, as they change nothing. With
-    visitors (``asks``) only pairs that hold one are of interest."""
+    """The links of all pairs of a block, decided on their full sets, as far as they connect anything. With visitors
+    (``asks``) only pairs of a visitor and a host are of interest."""
 
     def run(tab: pa.Table) -> pa.Table:
-        rows = sorted(r for r in set(zip(*(tab.column(n).to_pylist() for n in ("doc", "asks", "shingles")))) if r[2])
-        docs, asks = [r[0] for r in rows], [r[1] for r in rows]
-        sets = [np.frombuffer(r[2], np.uint64) for r in rows]
-        up, a, b, any_asks = list(range(len(docs))), [], [], any(asks)
-        sig = signatures(sets) if len(docs) > FEW else None
-        for i in range(1, len(docs)):
-            for j in range(i) if sig is None else np.flatnonzero((sig[:i] == sig[i]).mean(axis=1) >= percent / 100 - ESTIMATE_MARGIN).tolist():
-                x, y = _find(up, i), _find(up, j)
-                if x == y or any_asks and asks[i] == asks[j]:
-                    continue
-                p, q = sets[i], sets[j]
-                small, large = (p, q) if len(p) <= len(q) else (q, p)
-                if 100 * len(small) < percent * len(large):
-                    continue
-                at = np.searchsorted(large, small)
-                both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                if 100 * both >= percent * (len(p) + len(q) - both) or docs[i] == docs[j]:
+        rows = {}  # a document can be visitor and host
+        for doc, ask, raw in zip(tab.column("doc").to_pylist(), tab.column("asks").to_pylist(), tab.column("shingles")):
+            if (doc, ask) not in rows:
+                rows[doc, ask] = np.frombuffer(raw.as_buffer(), np.uint64)
+        docs, asks, sets = [d for d, _ in rows], np.array([k for _, k in rows]), list(rows.values())
+        a, b = [], []
+        if len(docs) > 1:
+            every = np.arange(len(docs))
+            left, right = (every[asks], every[~asks]) if asks.any() else (every, every)
+            n = np.array([len(x) for x in sets])
+            both = _overlaps(sets, left, right)
+            union = n[left][:, None] + n[right][None, :] - both
+            up = list(range(len(docs)))
+            for i, j in zip(*np.nonzero(100 * both >= percent * union)):
+                i, j = int(left[i]), int(right[j])
+                if (x := _find(up, i)) != (y := _find(up, j)):
                     up[x] = y
                     if docs[i] != docs[j]:
                         a.append(docs[i])
                         b.append(docs[j])
-        return pa.table({"cluster": pa.array([tab.column("cluster")[0].as_py()] * len(a), pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        cluster = tab.column("cluster")[0].as_py()
+        return pa.table({"cluster": pa.array([cluster] * len(a), pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -273,50 +306,107 @@ def _decided(sets: DataFrame, assigned: DataFrame, percent: int) -> DataFrame:
     return sets.join(assigned.hint("merge"), "doc").groupBy("cluster", "block", "sub").applyInArrow(_linker(percent), "cluster long, a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = TREES, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id long, n_shingles long, component_id long, kept boolean) for each row: the size of its shingle set, the
-    smallest id reachable over links (100 * intersection >= percent * union), and whether that is its own.
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, t1, t2, text): the id and two hashes of the text, which together name a document whatever ids are shared."""
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.alias("text"))
 
-    A null or empty text has the empty set and links with nothing; a null id has a null component and is kept.
-    Repeated rows are answered each; rows that share an id but not the text are answered each by its own text. Tables and
-    links of all documents stay distributed; a task holds one block's sets at a time.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    sketches = cut(rows.mapInArrow(_sketch_udf(k), "doc long, n long, d1 long, d2 long, sig binary"), "sketches")
-    full = sketches.where("n > 0 and doc is not null")
-    classes = cut(full.groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.first("sig").alias("sig"), F.first("n").alias("n")), "classes")
-    reps = classes.select(F.col("rep").alias("doc"), "sig")
+
+def _components(rows: DataFrame, sketches: DataFrame, k: int, percent: int, trees: int, depth: int) -> DataFrame:
+    """(d1, d2, component): the component of each class, that is of each set digest, of the sketches that are not
+    empty. Classes have numbers of their own, so documents that share an id stay apart."""
+    best = F.min(F.struct(F.col("doc").isNull().alias("unnamed"), "doc", "t1", "t2")).alias("rep")
+    numbered = sketches.where("n > 0").groupBy("d1", "d2").agg(best, F.first("sig").alias("sig"), F.first("n").alias("n"))
+    classes = cut(numbered.withColumn("node", F.monotonically_increasing_id()), "classes")  # written, so the numbers stay
+    reps = classes.select(F.col("node").alias("doc"), "sig")
     links = components(_candidate_links(reps, trees, depth, percent / 100 - ESTIMATE_MARGIN))
     clusters = cut(links.select(F.col("node").alias("doc"), F.col("component").alias("cluster")), "clusters")
 
     pivot = [F.min(F.struct(F.xxhash64("doc", F.lit(s)).alias("h"), "doc"))["doc"].alias(f"p{s}") for s in range(4)]
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), *pivot)
     sizes = sizes.withColumn("blocks", F.when(F.col("m") <= BLOCK, 1).otherwise(F.ceil(F.col("m") / (BLOCK // 2))).cast("int"))
-    placed = clusters.join(sizes.select("cluster", "blocks"), "cluster")
+    placed = _spread_join(clusters, sizes.select("cluster", "blocks"), "cluster")
     block = F.when(F.col("blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("doc", F.lit(9)), F.col("blocks"))).cast("int")
     placed = placed.select("doc", "cluster", block.alias("block"), "blocks")
     wide = cut(sizes.where("blocks > 1"), "wide")  # groups beyond a block
-    pivots = wide.select(F.explode(F.array_distinct(F.array("p0", "p1", "p2", "p3"))).alias("doc"), "cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    pivots = wide.select(F.explode(F.array_distinct(F.array("p0", "p1", "p2", "p3"))).alias("doc"), "cluster", blocks.alias("block"))
     plain = [F.lit(0).alias("sub"), F.lit(False).alias("asks")]
     assigned = placed.select("doc", "cluster", "block", *plain).unionByName(pivots.select("doc", "cluster", "block", *plain)).distinct()
+
     # the texts move once, whatever their number: a broadcast of the ids would grow with the corpus
-    sets = cut(rows.join(clusters.select("doc").hint("merge"), "doc").mapInArrow(_full_sets(k), "doc long, shingles binary"), "sets")
+    name = [F.col(f"rep.{c}").alias(f"r_{c}") for c in ("doc", "t1", "t2")]
+    chosen = clusters.join(classes.select(F.col("node").alias("doc"), "rep"), "doc").select(F.col("doc").alias("node"), *name)
+    same = F.col("doc").eqNullSafe(F.col("r_doc")) & (F.col("t1") == F.col("r_t1")) & (F.col("t2") == F.col("r_t2"))
+    texts = rows.join(chosen.hint("merge"), same).select(F.col("node").alias("doc"), "text")
+    sets = cut(texts.mapInArrow(_full_sets(k), "doc long, shingles binary"), "sets")  # repeated rows repeat their set
     held = cut(_decided(sets, assigned, percent), "links")
     found = components(held)
     if not wide.isEmpty():
         inside = placed.where("blocks > 1")
         found = cut(found, "components")
-        own = inside.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        main = own.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("cluster").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
-        apart = cut(own.join(main, "cluster").where("component <> main").select("doc", "cluster", "blocks"), "apart")
+        named = inside.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        counted = named.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("c"))
+        main = counted.groupBy("cluster").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
+        apart = cut(_spread_join(named, main, "cluster").where("component <> main").select("doc", "cluster", "blocks"), "apart")
         if not apart.isEmpty():
             size = F.greatest(F.ceil(F.count(F.lit(1)) / PART), F.ceil(F.sum("n") * 8 / PART_BYTES)).cast("int")
-            parts = inside.join(classes.select(F.col("rep").alias("doc"), "n"), "doc").groupBy("cluster").agg(size.alias("parts"))
-            own_part, all_parts = lambda seed: F.pmod(F.xxhash64("doc", F.lit(seed)), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-            guests = apart.join(parts, "cluster").select("doc", "cluster", all_parts.alias("block"), own_part(5).alias("sub"), F.lit(True).alias("asks"))
-            hosts = inside.join(parts, "cluster").select("doc", "cluster", own_part(9).alias("block"), all_parts.alias("sub"), F.lit(False).alias("asks"))
-            found = components(held.unionByName(_decided(sets, guests.unionByName(hosts), percent)))
-    by_class = classes.select("d1", "d2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("least"))
+            lengths = classes.select(F.col("node").alias("doc"), "n")
+            asking = apart.join(lengths, "doc").groupBy("cluster").agg(size.alias("subs"))
+            parts = inside.join(lengths, "doc").groupBy("cluster").agg(size.alias("parts")).join(asking, "cluster")
+            own = lambda seed, n: F.pmod(F.xxhash64("doc", F.lit(seed)), F.col(n)).cast("int")
+            every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+            guests = _spread_join(apart, parts, "cluster").select("doc", "cluster", every("parts").alias("block"), own(5, "subs").alias("sub"), F.lit(True).alias("asks"))
+            hosts = _spread_join(inside, parts, "cluster").select("doc", "cluster", own(9, "parts").alias("block"), every("subs").alias("sub"), F.lit(False).alias("asks"))
+            more = cut(_decided(sets, guests.unionByName(hosts), percent), "links")
+            found = components(held.unionByName(more))
+            forget(more)
+        forget(apart)
+    found = cut(found, "found")
+    forget(held, sets, wide, clusters)
+    return classes.join(found, "node", "left").select("d1", "d2", "rep", F.coalesce("component", "node").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = TREES, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id long, n_shingles long, component_id long, kept boolean) for each row: the size of its shingle set, the
+    smallest id reachable over links (100 * intersection >= percent * union), and whether that is its own.
+
+    A null or empty text has the empty set and links with nothing; a null id has a null component, is kept and takes no
+    part in links. Repeated rows are answered each; rows that share an id but not the text are answered each by its own
+    text. An empty table gives no rows; other columns are ignored. Tables and
+    links of all documents stay distributed; a task holds one block's sets at a time.
+    """
+    rows = _keyed(docs, id_col, text_col)
+    sketches = cut(rows.mapInArrow(_sketch_udf(k), "doc long, t1 long, t2 long, n long, d1 long, d2 long, sig binary"), "sketches")
+    classes = _components(rows, sketches.where("doc is not null"), k, percent, trees, depth)
+    least = classes.groupBy("component").agg(F.min("rep.doc").alias("least"))
+    by_class = classes.select("d1", "d2", "component").join(least, "component").select("d1", "d2", "least")
     out = sketches.select("doc", "n", "d1", "d2").join(by_class, ["d1", "d2"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.col("least")).otherwise(F.col("doc"))
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc"), F.lit(True)).alias("kept"))
+
+
+def has_words(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = TREES, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that stay when each group of linked documents keeps one: the row with the
+    smallest id, nulls last, of several with that id the one with the smallest hash of its text.
+
+    Rows are told apart by id and text, so no text is lost to another one with its id; of rows that repeat both, one
+    stays. Rows with a null id take part like others. Null texts and texts without words are linked with nothing and
+    stay, all of them. An empty table stays empty.
+    """
+    rows = _keyed(docs, id_col, text_col)
+    sketches = cut(rows.mapInArrow(_sketch_udf(k), "doc long, t1 long, t2 long, n long, d1 long, d2 long, sig binary"), "sketches")
+    classes = _components(rows, sketches, k, percent, trees, depth)
+    names = [fresh(docs, n) for n in ("_doc", "_t1", "_t2")]
+    best = classes.groupBy("component").agg(F.min("rep").alias("rep")).select(*(F.col(f"rep.{c}").alias(n) for c, n in zip(("doc", "t1", "t2"), names)))
+    text = docs[text_col]
+    same = docs[id_col].cast("long").eqNullSafe(best[names[0]]) & (F.xxhash64(text) == best[names[1]]) & (F.xxhash64(F.lit(1), text) == best[names[2]])
+    kept = docs.where(has_words(F.col(text_col))).join(best.hint("merge"), same)
+    # rows that repeat id and text: the first by a hash of what can be hashed; Spark limits each group before the shuffle
+    order, n = [F.xxhash64(*(c for c, t in docs.dtypes if "map<" not in t and "variant" not in t))], fresh(docs, "_n")
+    kept = kept.withColumn(n, F.row_number().over(Window.partitionBy(*names).orderBy(*order))).where(F.col(n) == 1)
+    return kept.drop(*names, n).unionByName(docs.where(~has_words(F.col(text_col))))

@@ -24,10 +24,10 @@ import tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, cut, shuffle_partitions
+from .common import Bounded, arrow_rows, cut, hold, shuffle_partitions
 
-#: Words and pre-tokens that a worker remembers at most, some 250 bytes each.
-CACHE_ENTRIES = 700_000
+#: Bytes of words' and of pre-tokens' ids that a worker remembers, each.
+CACHE_BYTES = 80 << 20
 CACHE_CHARS = 40
 #: Runs sent to every task at most (40 bytes each); beyond that they are joined instead.
 MAX_BROADCAST_RUNS = 1_000_000
@@ -57,8 +57,9 @@ class WordEncoder:
         self._ends = np.zeros(self._library.get_vocab_size(True), bool)
         for token, i in self._library.get_vocab(False).items():
             self._ends[i] = token.endswith("</w>")
-        self._words: dict[str, bytes] = {}
-        self._parts: dict[str, bytes] = {}
+        weigh = lambda word, ids: 200 + len(word) + len(ids)
+        self._words = Bounded(CACHE_BYTES, weigh)
+        self._parts = Bounded(CACHE_BYTES, weigh)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -87,14 +88,14 @@ class WordEncoder:
             learnt = self._apart(unknown)
             if learnt is None:
                 return self._encode([text])[0]
-            if len(have) < CACHE_ENTRIES:
-                have.update(learnt)
-            else:
-                have = ChainMap(learnt, have)
+            for p, ids in learnt.items():
+                have.keep(p, ids)
+            have = ChainMap(learnt, have)
         new = {w: b"".join([have[p] for p in ps]) for w, ps in parts.items()}
         out = b"".join([known[w] if w in known else new[w] for w in words])
-        if len(known) < CACHE_ENTRIES:  # fills once and then stays: frequent words come early
-            known.update((w, i) for w, i in new.items() if len(w) <= CACHE_CHARS)
+        for w, ids in new.items():
+            if len(w) <= CACHE_CHARS:
+                known.keep(w, ids)
         return out
 
 
@@ -111,6 +112,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int =
     schema = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("token_ids", pa.binary())] * with_ids)
 
     def make():
+        hold("packing", word_encoder.cache_clear)
         encode, end, step = word_encoder(path).encode, np.array([end_id], "<u4").tobytes(), 4 * capacity
 
         def apply(rows):

@@ -18,10 +18,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows
+from .common import Bounded, arrow_rows, hold
 
 SPACE = "▁"
-CACHE_ENTRIES = 300_000
+#: Bytes of pre-tokens' counts that a worker remembers beyond the proven ones.
+CACHE_BYTES = 48 << 20
 CACHE_CHARS = 40
 _LETTER = "A-Za-z\u00c0-\u024f"
 _WORD_THEN_STOP = re.compile(f"[{_LETTER}][.,]")
@@ -41,7 +42,8 @@ class PieceCounter:
             raise ValueError("this model normalises texts; only identity with a dummy prefix is handled")
         self._split = re.compile(f"(?:{SPACE}+|[^{SPACE}\n])(?:[^{SPACE}\n.,]+|(?<![{_LETTER}])[.,])*|\n").findall
         self.whole = {p: 1 for p, n in zip(pieces, self._merge(pieces)) if n == 1} | {"\n": 1}
-        self._cache = dict(self.whole)
+        self._cache = Bounded(CACHE_BYTES, lambda part, _: 160 + 2 * len(part))
+        self._cache.update(self.whole)
 
     def _pieces(self, text: str) -> list[str]:
         return [self._model.id_to_piece(i) for i in self._model.encode("\n" + text)][2:]
@@ -63,8 +65,9 @@ class PieceCounter:
         rest = list({p for p in parts if p not in known})
         merged = dict(zip(rest, self._merge(rest)))
         n = sum(known[p] if p in known else merged[p] for p in parts)
-        if len(known) < CACHE_ENTRIES:  # fills once and then stays: frequent words come early
-            known.update((p, k) for p, k in merged.items() if len(p) <= CACHE_CHARS)
+        for p, k in merged.items():
+            if len(p) <= CACHE_CHARS:
+                known.keep(p, k)
         return n
 
 
@@ -82,6 +85,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "d
     schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
     def make():
+        hold("tokencount", counter.cache_clear)
         count = counter(path).count
         return lambda rows: {"id": rows["id"], "n_bytes": [len(t.encode()) if t else 0 for t in rows["text"]], "n_tokens": [count(t) for t in rows["text"]]}
 

@@ -21,15 +21,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, cut
+from .common import Remembered, arrow_rows, cut, forget, hold
 
 #: Labelled documents that the fit reads at most, chosen by hash of the id.
 FIT_DOCUMENTS = 200_000
 #: Weight of the prior, in documents; z above which an entry counts; expected chance passages below which one is significant.
 PRIOR_DOCUMENTS, LEAST_Z, LEAST_EVALUE = 4.0, 4.0, 0.05
 STARTS = (7, 6, 5, 4, 3)
-FLUSH = 400_000
-CACHE_ENTRIES = 300_000
+#: Words that a task counts before it hands them on; bytes of words' odds that a worker remembers.
+FLUSH, CACHE_BYTES = 200_000, 24 << 20
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -53,7 +53,8 @@ class ToxicModel:
 
     def hits(self, words: list[str]) -> list[tuple[int, float]]:
         if not hasattr(self, "_known"):
-            self._known = _Odds(self)
+            self._known = Remembered(self.odds, CACHE_BYTES, lambda word, _: 160 + len(word))
+            hold("toxicity", lambda: self.__dict__.pop("_known", None))
         scores = list(map(self._known.__getitem__, words))
         if not any(scores):
             return []
@@ -97,19 +98,6 @@ class ToxicModel:
         return _logistic(self.weights, features(found)), [f for f in found if f[3] <= math.log(LEAST_EVALUE)]
 
 
-class _Odds(dict):
-    """Odds of words met; fills once and then stays, as frequent words come early."""
-
-    def __init__(self, model: ToxicModel):
-        self.model = model
-
-    def __missing__(self, word: str) -> float:
-        odds = self.model.odds(word)
-        if len(self) < CACHE_ENTRIES:
-            self[word] = odds
-        return odds
-
-
 def features(found: list[tuple[int, int, float, float]]) -> tuple[float, float]:
     """Surprise of the best segment (minus log of its expected number, within bounds), and how many are significant."""
     best = min((f[3] for f in found), default=math.inf)
@@ -185,6 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     some = some.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic")).groupBy("id").agg(F.max("toxic").alias("toxic"))
     some = some.orderBy(F.xxhash64("id"), "id").limit(max_documents).withColumn("half", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)).cast("int"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id").select("text", "toxic", "half")  # bounded by max_documents rows of 16 bytes
+    texts = cut(texts, "labelled")  # read three times
 
     counted = texts.mapInArrow(_counts, "word string, t0 long, o0 long, t1 long, o1 long").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("t0", "o0", "t1", "o1")))
     counted = cut(counted.where("word = '' or t0 + t1 >= 3"), "words")
@@ -241,6 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     model = ToxicModel(every, background, decay, scale, (0.0, 0.0, 0.0))
     found = [features([(0, 0, x, model.expected(x, r["n"])) for x in r["scores"]]) for r in seen]
     model.weights = _fit_logistic(np.array(found), np.array([r["toxic"] for r in seen], float))
+    forget(texts, counted)
     return model
 
 
@@ -282,12 +272,15 @@ def score_documents(docs: DataFrame, model: ToxicModel, threshold: float = 0.7,
 
 
 def keep_clean(docs: DataFrame, model: ToxicModel, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that score below the threshold; null texts score as empty ones."""
+    """The rows of ``docs``, all columns as they are, that score below the threshold. A null
+    text scores as an empty one, like a text without hits; repeated rows are judged each alike; an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         judge = shared.value.judge
-        for batch in batches:
-            yield batch.filter(pa.array([judge(t)[0] < threshold for t in batch.column(text_col).to_pylist()], pa.bool_()))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 512):
+                batch = whole.slice(lo, 512)
+                yield batch.filter(pa.array([judge(t)[0] < threshold for t in batch.column(text_col).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

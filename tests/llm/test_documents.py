@@ -87,6 +87,29 @@ def test_op5_odd_rows(spark):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_op5_shared_ids(spark):
+    rng = random.Random(3)
+    a, b = (" ".join(words(rng, 40)) for _ in range(2))
+    rows = [(0, b), (0, a), (1, b), (1, a), (2, a), (None, b), (None, a + " x")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4)
+    want = [(0, 37, 0, True)] * 2 + [(1, 37, 0, False)] * 2 + [(2, 37, 0, False), (None, 37, None, True), (None, 38, None, True)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_op5_recall_at_the_threshold_within_a_passage_group(spark):
+    """Pairs at 0.80 to 0.82 among documents that all share a passage of half their length."""
+    rng = random.Random(4)
+    passage, rows = words(rng, 60), []
+    for i in range(600):
+        own = words(rng, 60)
+        rows.append((2 * i, " ".join(passage + own)))
+        if i < 200:  # 117 shingles of four, 104 shared: 104 / 130 = 0.8
+            rows.append((2 * i + 1, " ".join(passage + own[:47] + words(rng, 13))))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()
+    found = sum(r["component_id"] == r["doc_id"] - 1 for r in got if r["doc_id"] % 2)
+    assert found >= 198 and all(r["kept"] for r in got if not r["doc_id"] % 2)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(300 + i, 301 + i) for i in range(40)] + [(500, 500 + i) for i in range(1, 60)] + [(None, 3)]
@@ -173,6 +196,57 @@ def test_op7_chunks_cover_texts_and_odd_rows(spark):
     assert chunkdedup.repeated_passages(docs.limit(0)).count() == 0
 
 
+def brute_spans(rows, min_words):
+    """Spans of all rows by the definition: chunks, first occurrences by (id, text hash, place), runs, alignments."""
+    docs = sorted({(i, t) for i, t in rows if i is not None and t})
+    chunks, first = {}, {}
+    for d in docs:
+        raw = d[1].encode()
+        chunks[d] = [(s, e, raw[s:e]) for s, e in chunkdedup.split(raw, chunkdedup.chunk_ends(np.frombuffer(raw, np.uint8)))]
+        for s, e, c in chunks[d]:
+            first.setdefault(c, (d, s))
+    out = {}
+    for d in docs:
+        found, run, reached = set(), {}, None
+        for s, e, c in [*chunks[d], (None, None, None)]:
+            if s is None or first[c] == (d, s) or s != reached and reached is not None:
+                found |= {(x[0], x[1]) for x in run.values() if x[2] >= min_words}
+                run = {}
+            if s is not None and first[c] != (d, s):
+                x = run.setdefault((first[c][0], s - first[c][1]), [s, s, 0])
+                x[1], x[2], reached = e, x[2] + len(c.split()), e
+        out[d] = sorted(found)
+    return out
+
+
+def test_op7_against_brute_force(spark):
+    rng = random.Random(9)
+    passages = [" ".join(words(rng, rng.randint(10, 90))) for _ in range(6)]
+    common = words(rng, 12)
+    rows = []
+    for i in range(60):
+        parts = [" ".join(rng.choice(common) if rng.random() < 0.3 else w for w in words(rng, rng.randint(5, 60))) for _ in range(3)]
+        rows.append((i, f" {rng.choice(passages)} ".join(parts)))
+    rows += [rows[3], (None, rows[3][1]), (70, None), (71, ""), (72, rows[5][1])]
+    got = chunkdedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_spans(rows, chunkdedup.MIN_WORDS)
+    texts = dict(r for r in rows if r[0] is not None)
+    assert len(got) == len(rows) and any(r["n_spans"] for r in got)
+    for r in got:
+        spans = want.get((r["doc_id"], texts.get(r["doc_id"])), [])
+        covered = {x for s, e in spans for x in range(s, e)}
+        assert {x for p in r["spans"] for x in range(p["start"], p["end"])} == covered and r["repeated_bytes"] == len(covered)
+
+
+def test_op7_shared_ids(spark):
+    rng = random.Random(12)
+    a, b, c = (" ".join(words(rng, 120)) for _ in range(3))
+    passage = a[300:700]
+    rows = [(0, a), (5, f"{b[:200]} {passage} {b[200:]}"), (5, c * 2)]
+    got = {r["text"]: r for r in chunkdedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert a in got and c * 2 not in got and any(b[:100] in t and passage not in t for t in got)
+
+
 def test_op9_links_orders_and_validates(spark):
     call = lambda i, name, args: "<tool_call>" + json.dumps({"id": i, "name": name, "arguments": args}) + "</tool_call>"
     rows = [
@@ -208,6 +282,37 @@ def test_op10(spark):
     assert licenses.scan_licenses(docs.limit(0), licenses.known_digests(spark)).count() == 0
 
 
+EXTRA = "doc_id long, text string, lang string, source string, n_chars long, _doc int, _places int, salt int, doc int, t1 int"
+
+
+def odd_documents(spark):
+    rng = random.Random(5)
+    a, b = (" ".join(words(rng, 60)) for _ in range(2))
+    rows = [(0, b), (1, b), (1, a), (2, a), (2, a), (None, a), (None, None), (3, None), (3, ""), (4, " \n"), (4, " \n"), (None, "é " * 30)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, 2, 3, 4, 5) for i, t in rows], EXTRA)
+    return docs, a, b
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf_dir):
+    docs, a, b = odd_documents(spark)
+    names = sorted(docs.columns)
+    pairs = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    clean = corpus_pipeline.drop_toxic(spark, docs, sf_dir)
+    assert clean.columns == docs.columns and pairs(clean) == pairs(docs)
+    once = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir)
+    wordless = [(None, None), (3, None), (3, ""), (4, " \n"), (4, " \n")]
+    assert once.columns == docs.columns and pairs(once) == sorted([(0, b), (1, a), (None, "é " * 30), *wordless], key=str)
+    cleaned = corpus_pipeline.cut_repeats(spark, docs, sf_dir)
+    assert cleaned.columns == docs.columns and cleaned.count() == docs.count()
+    assert {r["text"] for r in cleaned.where("doc_id = 0").collect()} == {b} and cleaned.where("doc_id is null and text is not null").count() == 2
+    packed = corpus_pipeline.pack(spark, docs, sf_dir)
+    assert packed.count() == docs.count() and packed.select("sequence_id").distinct().count() == 1
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.drop_near_duplicates, corpus_pipeline.cut_repeats):
+        empty = stage(spark, docs.limit(0), sf_dir)
+        assert empty.count() == 0 and sorted(empty.columns) == names
+    assert corpus_pipeline.pack(spark, docs.limit(0), sf_dir).count() == 0
+
+
 def test_pipeline(spark, sf_dir):
     docs = queries.table(spark, sf_dir, "documents")
     kept = corpus_pipeline.drop_toxic(spark, docs, sf_dir)
