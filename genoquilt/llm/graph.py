@@ -8,22 +8,19 @@ from pyspark.sql import functions as F
 
 from .common import cut, forget
 
-#: A node with at least this share of all edge ends is a hub. There are at most 1 / HUB_SHARE of them, so their least
-#: neighbours are broadcast, and only the other nodes meet their edges by a shuffle.
-HUB_SHARE = 1 / 2000
+#: A node's edges meet its least neighbour in so many tasks, so a hub is dealt out.
+SALTS = 8
 
 
-def _star(edges: DataFrame, ends: int, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     if not large:  # each node with its smaller neighbours
         both = both.where(F.col("v") < F.col("u"))
-    # partial sums go first, so a hub costs a row a task here
-    least = both.groupBy("u").agg(F.least(F.min("v"), "u").alias("m"), F.count(F.lit(1)).alias("c"))
-    hub = F.col("c") >= max(1000, int(ends * HUB_SHARE))
-    hubs = least.where(hub).select("u", F.col("m").alias("h"))
-    far = (both.where(F.col("v") > F.col("u")) if large else both).join(F.broadcast(hubs), "u", "left")
-    out = far.where("h is not null").select(F.col("v").alias("a"), F.col("h").alias("b"))
-    out = out.unionByName(far.where("h is null").select("u", "v").join(least.where(~hub).select("u", "m"), "u").select(F.col("v").alias("a"), F.col("m").alias("b")))
+    # partial minima go first, so a hub costs a row a task here
+    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    far = (both.where(F.col("v") > F.col("u")) if large else both).withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    dealt = least.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    out = far.join(dealt.hint("merge"), ["u", "salt"]).select(F.col("v").alias("a"), F.col("m").alias("b"))
     if not large:
         out = out.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     return out.where("a <> b").distinct()
@@ -40,8 +37,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == state or not now[0]:
             break
         state = now
-        halfway = _star(edges, 2 * now[0], True)
-        after = cut(_star(halfway, 2 * now[0], False), "edges")
+        after = cut(_star(_star(edges, True), False), "edges")
         forget(edges)
         edges = after
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -198,9 +198,10 @@ def _likely(least: float):
 
 
 def _spread_join(members: DataFrame, one: DataFrame, key: str) -> DataFrame:
-    """``members`` with the columns of their key's row in ``one``. A key's members go to SALTS tasks, by document."""
+    """``members`` with the columns of their key's row in ``one``. A key's members go to SALTS tasks, by document; merged, as
+    many small broadcasts would fill the driver."""
     salted = one.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    return members.withColumn("salt", F.pmod(F.xxhash64("doc", F.lit(3)), F.lit(SALTS)).cast("int")).join(salted, [key, "salt"]).drop("salt")
+    return members.withColumn("salt", F.pmod(F.xxhash64("doc", F.lit(3)), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), [key, "salt"]).drop("salt")
 
 
 def _candidate_links(reps: DataFrame, trees: int, depth: int, least: float) -> DataFrame:
@@ -223,13 +224,13 @@ def _candidate_links(reps: DataFrame, trees: int, depth: int, least: float) -> D
         big = big.where(~ends)
         if level == depth or big.isEmpty():
             break
-        members = big.join(reps.select("doc", "sig"), "doc").select("node", "doc", "c", "sig").mapInArrow(_next_children, "node long, doc long, above long")
+        members = big.join(reps.select("doc", "sig").hint("merge"), "doc").select("node", "doc", "c", "sig").mapInArrow(_next_children, "node long, doc long, above long")
     nodes = lists[0]
     for x in lists[1:]:
         nodes = nodes.unionByName(x)
     nodes = nodes.distinct()  # trees find the same groups again and again
     each = nodes.select(F.xxhash64("docs").alias("k"), F.size("docs").alias("c"), F.explode("docs").alias("doc"))
-    held = each.join(reps.select("doc", "sig"), "doc").groupBy("k", "c").agg(F.collect_list(F.struct("doc", "sig")).alias("members"))
+    held = each.join(reps.select("doc", "sig").hint("merge"), "doc").groupBy("k", "c").agg(F.collect_list(F.struct("doc", "sig")).alias("members"))
     links = held.select("members").mapInArrow(_likely(least), "a long, b long")
     for x in stars:
         links = links.unionByName(x)
@@ -336,7 +337,7 @@ def _components(rows: DataFrame, sketches: DataFrame, k: int, percent: int, tree
 
     # the texts move once, whatever their number: a broadcast of the ids would grow with the corpus
     name = [F.col(f"rep.{c}").alias(f"r_{c}") for c in ("doc", "t1", "t2")]
-    chosen = clusters.join(classes.select(F.col("node").alias("doc"), "rep"), "doc").select(F.col("doc").alias("node"), *name)
+    chosen = clusters.join(classes.select(F.col("node").alias("doc"), "rep").hint("merge"), "doc").select(F.col("doc").alias("node"), *name)
     same = F.col("doc").eqNullSafe(F.col("r_doc")) & (F.col("t1") == F.col("r_t1")) & (F.col("t2") == F.col("r_t2"))
     texts = rows.join(chosen.hint("merge"), same).select(F.col("node").alias("doc"), "text")
     sets = cut(texts.mapInArrow(_full_sets(k), "doc long, shingles binary"), "sets")  # repeated rows repeat their set
@@ -345,7 +346,7 @@ def _components(rows: DataFrame, sketches: DataFrame, k: int, percent: int, tree
     if not wide.isEmpty():
         inside = placed.where("blocks > 1")
         found = cut(found, "components")
-        named = inside.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        named = inside.join(found.withColumnRenamed("node", "doc").hint("merge"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         counted = named.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("c"))
         main = counted.groupBy("cluster").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
         apart = cut(_spread_join(named, main, "cluster").where("component <> main").select("doc", "cluster", "blocks"), "apart")

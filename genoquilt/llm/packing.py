@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import Bounded, arrow_rows, cut, hold, shuffle_partitions
 
 #: Bytes of words' and of pre-tokens' ids that a worker remembers, each.
-CACHE_BYTES = 80 << 20
+CACHE_BYTES = 112 << 20
 CACHE_CHARS = 40
 #: Runs sent to every task at most (40 bytes each); beyond that they are joined instead.
 MAX_BROADCAST_RUNS = 1_000_000
