@@ -53,13 +53,42 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+#: Tools of the planted conversations: name, required arguments, types.
+TOOLS = [("lookup", ["order", "status"], {"order": "integer", "status": "string"}), ("refund", ["order", "amount"], {"order": "integer", "amount": "number"})]
+
+
+def chat_planted_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``format_chats`` over conversations made of whole tables, as those given hold no calls: each order is an assistant message with
+    two calls (one of them of a tool that may be unknown or lack an argument), each first line of an order a
+    result, some before their call and some of no call."""
+    order = F.col("o_orderkey").cast("string")
+    call = lambda i, name, args: F.concat(F.lit('<tool_call>{"id":"'), i, F.lit('","name":"'), name, F.lit('","arguments":{'), args, F.lit("}}</tool_call>"))
+    kind = F.element_at(F.array(F.lit("lookup"), F.lit("refund"), F.lit("ghost")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    arguments = F.concat(F.lit('"status": "'), F.col("o_orderstatus"), F.lit('", "order": '), order)
+    amount = F.concat(F.lit('"order":'), order, F.lit(',"amount":'), order)
+    text = F.concat(F.lit("Let me see. "), call(F.concat(F.lit("a"), order), kind, arguments), call(F.concat(F.lit("b"), order), F.lit("refund"), amount))
+    orders = table(spark, sf_dir, "orders")
+    asked = orders.select(F.col("o_custkey").alias("conv_id"), (10 * F.col("o_orderkey")).alias("turn"), F.lit("assistant").alias("role"), text.alias("text"))
+    lines = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    which = F.when(F.col("l_orderkey") % 7 == 0, F.lit("z")).when(F.col("l_linenumber") == 1, F.lit("a")).otherwise(F.lit("b"))
+    answer = F.concat(F.lit('{"tool_call_id":"'), which, order, F.lit('","content":"part '), F.col("l_partkey").cast("string"), F.lit('"}'))
+    late = 10 * F.col("o_orderkey") + F.when(F.col("l_orderkey") % 5 == 0, -F.col("l_linenumber")).otherwise(F.col("l_linenumber"))
+    told = lines.select(F.col("o_custkey").alias("conv_id"), late.alias("turn"), F.lit("tool").alias("role"), answer.alias("text"))
+    tools = spark.createDataFrame(TOOLS, "name string, required array<string>, types map<string,string>")
+    return chat.format_chats(asked.unionByName(told), tools)
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents"), licenses.known_digests(spark))
     return found.withColumn("line_licenses", F.array_join("line_licenses", ","))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op2_exact_topk, op3_best_fit_packing, op4_approximate_neighbours, op5_near_duplicates, op6_toxicity, op7_substring_dedup, op8_token_counts, op9_chat_formatting, op10_license_scan)}
+    found = (
+        op1_bpe_round_trip, op2_exact_topk, op3_best_fit_packing, op4_approximate_neighbours, op5_near_duplicates, op6_toxicity,
+        op7_substring_dedup, op8_token_counts, op9_chat_formatting, chat_planted_tool_calls, op10_license_scan,
+    )
+    return {f.__name__: f for f in found}
 
 
 def _canonical_sql(text: str) -> str:
@@ -101,6 +130,21 @@ SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce("role", '') AS "role", co
   CAST(NULL AS VARCHAR) AS call_id, CASE WHEN "role" = 'tool' THEN false END AS linked, CAST(NULL AS BOOLEAN) AS valid,
   '{"content":' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || ',"role":' || CAST(to_json(coalesce("role", '')) AS VARCHAR) || '}' AS message
 FROM conversations""",
+        "chat_planted_tool_calls": """
+WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS s FROM orders),
+r AS (
+  SELECT k, c, l_linenumber AS n, l_partkey AS part, CASE WHEN k % 7 = 0 THEN 'z' WHEN l_linenumber = 1 THEN 'a' ELSE 'b' END AS what
+  FROM lineitem JOIN o ON l_orderkey = k WHERE l_linenumber <= 2),
+heard AS (SELECT k, bool_or(what = 'a') AND bool_or(what = 'b') AS both_heard FROM r GROUP BY 1)
+SELECT c AS conv_id, 10 * k AS turn, 'assistant' AS "role", 10 * k AS place, CAST(2 AS INTEGER) AS n_calls, CAST(NULL AS VARCHAR) AS call_id,
+  coalesce(both_heard, false) AS linked, k % 3 = 0 AS valid,
+  '{"content":"Let me see.","role":"assistant","tool_calls":[{"arguments":{"order":' || k || ',"status":"' || s || '"},"id":"a' || k || '","name":"' ||
+  CASE k % 3 WHEN 0 THEN 'lookup' WHEN 1 THEN 'refund' ELSE 'ghost' END || '"},{"arguments":{"amount":' || k || ',"order":' || k || '},"id":"b' || k || '","name":"refund"}]}' AS message
+FROM o LEFT JOIN heard USING (k)
+UNION ALL
+SELECT c, 10 * k + CASE WHEN k % 5 = 0 THEN -n ELSE n END, 'tool', CASE WHEN k % 5 = 0 AND what <> 'z' THEN 10 * k WHEN k % 5 = 0 THEN 10 * k - n ELSE 10 * k + n END, CAST(0 AS INTEGER),
+  what || k, what <> 'z', CAST(NULL AS BOOLEAN), '{"content":"part ' || part || '","role":"tool","tool_call_id":"' || what || k || '"}'
+FROM r""",
         "op10_license_scan": f"""
 WITH known AS (
   SELECT sha256({_canonical_sql('t')}) AS digest, min(l) AS license FROM (VALUES {known}) x(l, t) GROUP BY 1),

@@ -269,6 +269,22 @@ def test_op9_links_orders_and_validates(spark):
     assert chat.format_chats(msgs.limit(0), tools).count() == 0
 
 
+def test_op9_repeated_rows_and_null_keys(spark):
+    call = lambda i: f'<tool_call>{{"id":"{i}","name":"f","arguments":{{}}}}</tool_call>'
+    answer = lambda i: json.dumps({"tool_call_id": i, "content": "y"})
+    rows = [(1, 5, "assistant", call("p")), (1, 5, "assistant", call("p")), (1, 5, "assistant", "other " + call("q")), (1, 2, "tool", answer("p"))]
+    rows += [(None, None, "assistant", call("n")), (None, 3, "tool", answer("n")), (1, 7, "tool", answer("n")), (2, None, "tool", answer("m")), (2, 4, "assistant", call("m"))]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == len(rows)
+    first = [r for r in got if r["turn"] == 5]
+    assert [r["n_calls"] for r in first] == [1] * 3 and sorted(r["linked"] for r in first) == [False, True, True]
+    assert all(('"p"' in r["message"]) == r["linked"] and ('"other"' in r["message"]) != r["linked"] for r in first)
+    by = {(r["conv_id"], r["turn"], r["role"]): r for r in got}
+    assert by[1, 2, "tool"]["place"] == 5 and by[1, 2, "tool"]["linked"] and by[None, 3, "tool"]["linked"] and not by[1, 7, "tool"]["linked"]
+    assert by[None, None, "assistant"]["n_calls"] == 1 and by[None, None, "assistant"]["place"] == -1 and "tool_call>" not in by[None, None, "assistant"]["message"]
+    assert by[2, None, "tool"]["place"] == 4 and by[2, 4, "assistant"]["linked"]
+
+
 def test_op10(spark):
     mit = next(t for i, t in licenses.NOTICES if t.startswith("MIT License"))
     docs = spark.createDataFrame(
