@@ -52,6 +52,22 @@ def test_op2_many_blocks_and_big_numbers(spark):
     assert topk.top_k(base, base.limit(0), 4).count() == 0 and topk.top_k(base.limit(0), base.limit(3), 4).count() == 0
 
 
+def test_op2_thousands_of_queries_and_ties(spark):
+    rng = np.random.default_rng(5)
+    x = rng.integers(-3, 4, (6000, 8))
+    x[::3] = x[0]  # a third of all rows are one vector
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<long>").repartition(4)
+    got = {}
+    for r in topk.top_k(base, base.where("id < 5000"), 5, block=3000).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    scores = x[:5000] @ x.T
+    assert len(got) == 5000
+    for q in range(5000):
+        order = np.lexsort((np.arange(6000), -scores[q]))
+        order = order[order != q][:5]
+        assert sorted(got[q]) == [(n + 1, int(i), int(scores[q, i])) for n, i in enumerate(order)]
+
+
 def test_hilbert_keys_are_a_curve():
     for n, bits in ((2, 4), (3, 3), (4, 2)):
         grid = np.stack(np.meshgrid(*[np.arange(2**bits)] * n, indexing="ij"), -1).reshape(-1, n)
