@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,18 @@ def markers_from_arrays(df: DataFrame, id_col: str, array_col: str, columns: lis
 
 
 def markers_from_long(df: DataFrame, sample_idx: str, marker: str, dosage: str, n_samples: int) -> DataFrame:
-    """Marker-major table of a sparse long one (sample index, marker, dosage); absent cells are 0."""
-    rows = df.groupBy(F.col(marker).cast("string").alias("marker_id")).agg(F.map_from_entries(F.collect_list(F.struct(F.col(sample_idx).cast("int"), F.col(dosage).cast("double")))).alias("m"))
-    filled = F.transform(F.sequence(F.lit(0), F.lit(n_samples - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)))
-    return rows.select(F.xxhash64("marker_id").alias("marker_idx"), "marker_id", filled.alias("g"))
+    """Marker-major table of a sparse long one (sample index, marker, dosage); absent cells are 0, of a repeated cell one
+    value counts. Markers are numbered by a hash of their name. A task fills one batch of markers at a time."""
+    cells = df.select(F.col(marker).cast("string").alias("marker_id"), F.col(sample_idx).cast("int").alias("s"), F.col(dosage).cast("double").alias("x"))
+    rows = cells.groupBy("marker_id").agg(F.collect_list("s").alias("s"), F.collect_list("x").alias("x"))
+
+    def fill(batches):
+        for batch in batches:
+            at, value = batch.column("s"), batch.column("x")
+            dense = np.zeros((batch.num_rows, n_samples))
+            counts = np.diff(at.offsets.to_numpy())
+            dense[np.repeat(np.arange(batch.num_rows), counts), at.flatten().to_numpy()] = value.flatten().to_numpy()
+            offsets = pa.array(np.arange(0, dense.size + 1, n_samples, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("marker_id"), pa.ListArray.from_arrays(offsets, pa.array(dense.ravel()))], names=["marker_id", "g"])
+
+    return rows.mapInArrow(fill, "marker_id string, g array<double>").select(F.xxhash64("marker_id").alias("marker_idx"), "marker_id", "g")

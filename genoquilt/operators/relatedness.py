@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 THRESHOLDS = {"duplicate": 0.354, "first": 0.177, "second": 0.0884, "third": 0.0442}
 
 
-def kinship_pairs(markers: DataFrame, n: int) -> DataFrame:
+def kinship_pairs(markers: DataFrame, n: int, above: float | None = None) -> DataFrame:
     """(i, j, n_het_i, n_het_j, n_hethet, n_homopp, phi) for each pair i < j of the n samples of a marker-major
-    table, over markers observed in both; phi is null if neither is heterozygous anywhere."""
+    table, over markers observed in both; phi is null if neither is heterozygous anywhere. Only pairs ``above`` a kinship, if
+    given. A task holds n x n counts."""
 
     def run(batches):
         het = np.zeros((n, n))
@@ -39,7 +40,8 @@ def kinship_pairs(markers: DataFrame, n: int) -> DataFrame:
     s = parts.groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in ("hi", "hj", "aa", "opp")))
     low = F.least("hi", "hj")
     phi = F.when(low > 0, (F.col("aa") - 2 * F.col("opp")) / (2 * low) + 0.5 - (F.col("hi") + F.col("hj")) / (4 * low))
-    return s.select("i", "j", F.col("hi").alias("n_het_i"), F.col("hj").alias("n_het_j"), F.col("aa").alias("n_hethet"), F.col("opp").alias("n_homopp"), phi.alias("phi"))
+    out = s.select("i", "j", F.col("hi").alias("n_het_i"), F.col("hj").alias("n_het_j"), F.col("aa").alias("n_hethet"), F.col("opp").alias("n_homopp"), phi.alias("phi"))
+    return out if above is None else out.where(F.col("phi") > above)
 
 
 def unrelated(pairs: DataFrame, n: int, cutoff: float = THRESHOLDS["second"]) -> list[int]:

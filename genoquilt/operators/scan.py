@@ -8,6 +8,7 @@ rows of the result leave Python.
 from __future__ import annotations
 
 import dataclasses
+import warnings
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.statistics import EPS, R_LIMIT
-from ..functions.tails import chi_square_upper, negative_log10, student_t_two_sided
+from ..functions.tails import chi_square_upper, critical_t, negative_log10, student_t_two_sided
+from .tables import unused
 
 #: Bytes of traits that one broadcast holds; more traits are scanned in several passes.
 BROADCAST_BYTES = 256 << 20
@@ -33,22 +35,31 @@ class Prepared:
     names: list[str]
 
 
+#: Singular values below this share of the largest count as none.
+RANK_TOLERANCE = 1e-9
+
+
 def residualise(y: np.ndarray, covariates: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Traits centred, without their projection on the centred covariates, divided by their population deviation."""
-    y = y - y.mean(0)
-    basis = None
-    if covariates is not None and covariates.shape[1]:
-        c = covariates - covariates.mean(0)
-        sd = c.std(0)
-        basis = np.linalg.qr(c / np.where(sd == 0, 1.0, sd))[0]
-        y = y - basis @ (basis.T @ y)
-    sd = y.std(0)
-    return y / np.where(sd == 0, 1.0, sd), basis
-
-
-def _blocks(batch: pa.RecordBatch, n: int):
-    """(rows, dosages as a matrix) of a batch, within BLOCK_BYTES."""
-    step = max(1, BLOCK_BYTES // max(1, 8 * n))
+    """Traits without their mean and their part in the space of the covariates, in units of their population deviation, and an
+    orthonormal basis of that space. Covariates that depend on each other, or do not vary, span fewer
+    dimensions than there are columns; that is warned about."""
+    basis, left = None, y - y.mean(axis=0, keepdims=True)
+    if covariates is not None and covariates.size:
+        scale = covariates.std(axis=0)
+        varying = (covariates[:, scale > 0] - covariates[:, scale > 0].mean(axis=0)) / scale[scale > 0]
+        space, strength, _ = np.linalg.svd(varying, full_matrices=False)
+        basis = space[:, strength > RANK_TOLERANCE * strength.max(initial=0.0)]
+        if basis.shape[1] < covariates.shape[1]:
+            warnings.warn(f"{covariates.shape[1]} covariates span {basis.shape[1]} dimensions only", stacklevel=2)
+        for _ in range(2):  # the second pass removes what rounding left
+            left = left - basis @ (basis.T @ left)
+    spread = left.std(axis=0)
+    return np.divide(left, spread, out=np.zeros_like(left), where=spread > 0), basis
+
+
+def _blocks(batch: pa.RecordBatch, n: int, most: int | None = None):
+    """(rows, dosages as a matrix) of a batch, within BLOCK_BYTES and ``most`` rows."""
+    step = max(1, min(BLOCK_BYTES // max(1, 8 * n), most or batch.num_rows))
     for at in range(0, batch.num_rows, step):
         part = batch.slice(at, step)
         g = part.column("g").flatten().to_numpy(zero_copy_only=False)
@@ -68,10 +79,10 @@ def correlate(g: np.ndarray, y: np.ndarray, dtype) -> tuple[np.ndarray, np.ndarr
     return r, t, sd[:, 0]
 
 
-def linear_scan(markers: DataFrame, prepared: Prepared, compute_dtype: str = "float64", drop_monomorphic: bool = True, p_value_threshold: float | None = None, topk_per_trait: int | None = None) -> DataFrame:
+def linear_scan(markers: DataFrame, prepared: Prepared, compute_dtype: str = "float64", drop_monomorphic: bool = True, p_value_threshold: float | None = None, topk_per_trait: int | None = None, chunk_size: int | None = None) -> DataFrame:
     """LINEAR rows for each marker and trait: the semi-partial correlation, its t statistic with n - 2 degrees of freedom,
     two-sided p value and standard error (NaN where t is 0). A threshold and then a limit per trait (highest -log10 p,
-    then highest |t|, then first marker) apply if given."""
+    then highest |t|, then first marker) apply if given. ``chunk_size``: markers in one product, at most."""
     n, total = prepared.traits.shape
     if n <= 2:
         raise ValueError("more than two samples are needed")
@@ -80,36 +91,41 @@ def linear_scan(markers: DataFrame, prepared: Prepared, compute_dtype: str = "fl
     dtype, step = np.dtype(compute_dtype).type, max(1, BROADCAST_BYTES // (8 * n))
     out = None
     for first in range(0, total, step):
-        part = _linear_pass(markers, prepared.traits[:, first : first + step], first, dtype, drop_monomorphic, p_value_threshold, topk_per_trait)
+        part = _linear_pass(markers, prepared.traits[:, first : first + step], first, dtype, drop_monomorphic, p_value_threshold, topk_per_trait, chunk_size)
         out = part if out is None else out.unionByName(part)
     return out if topk_per_trait is None else top_per_trait(out, topk_per_trait)
 
 
-def _linear_pass(markers, traits, first, dtype, drop, threshold, topk):
+def _linear_pass(markers, traits, first, dtype, drop, threshold, topk, chunk_size):
     n = len(traits)
     shared = markers.sparkSession.sparkContext.broadcast(traits)  # at most BROADCAST_BYTES
 
+    least = 0.0 if threshold is None else critical_t(threshold, n - 2)
+
     def run(batches):
         y = shared.value
         for batch in batches:
-            for part, g in _blocks(batch, n):
+            for part, g in _blocks(batch, n, chunk_size):
                 r, t, sd = correlate(g, y, dtype)
-                p = student_t_two_sided(t.ravel(), n - 2).reshape(t.shape)
-                keep = np.broadcast_to((sd > 0)[:, None] if drop else True, p.shape).copy()
-                if threshold is not None:
-                    keep &= p <= threshold
+                size = np.abs(t)
+                keep = np.broadcast_to((sd > 0)[:, None] if drop else True, t.shape) & (size >= least)
                 if topk is not None:  # of this block no more can be among the trait's best
-                    rank = np.where(keep, np.abs(t), -1.0)
+                    rank = np.where(keep, size, -1.0)
                     for j in np.flatnonzero(keep.sum(0) > topk):
                         floor = -np.partition(-rank[:, j], topk - 1)[topk - 1]
                         keep[:, j] &= rank[:, j] >= floor
                 i, j = np.nonzero(keep)
-                rr, tt, pp = r[i, j], t[i, j], p[i, j]
+                rr, tt = r[i, j], t[i, j]
+                pp = student_t_two_sided(tt, n - 2)  # only of the rows that are left
+                if threshold is not None:
+                    low = pp <= threshold
+                    i, j, rr, tt, pp = i[low], j[low], rr[low], tt[low], pp[low]
                 with np.errstate(divide="ignore", invalid="ignore"):
                     se = np.where(tt == 0, np.nan, np.abs(rr) / np.abs(tt))
                 take = pa.array(i)
+                columns = [(j + first).astype(np.int32), np.full(len(i), n, np.int32), pp, negative_log10(pp), rr, tt, se]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("marker_idx").take(take), part.column("marker_id").take(take), pa.array((j + first).astype(np.int32)), pa.array(np.full(len(i), n, np.int32)), pa.array(pp), pa.array(negative_log10(pp)), pa.array(rr), pa.array(tt), pa.array(se)],
+                    [part.column("marker_idx").take(take), part.column("marker_id").take(take), *map(pa.array, columns)],
                     names=["marker_idx", "marker_id", "trait_idx", "n", "p_value", "-log10_p", "beta", "t_stat", "se"],
                 )
 
@@ -119,7 +135,8 @@ def _linear_pass(markers, traits, first, dtype, drop, threshold, topk):
 def top_per_trait(scan: DataFrame, k: int) -> DataFrame:
     """Each trait's k best rows; Spark limits each group before the shuffle."""
     order = Window.partitionBy("trait_idx").orderBy(F.desc("-log10_p"), F.desc(F.abs("t_stat")), "marker_idx")
-    return scan.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
+    rank = unused(scan, "rank")
+    return scan.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= k).drop(rank)
 
 
 def top_hit(scan: DataFrame) -> DataFrame:
@@ -134,19 +151,21 @@ def trait_correlation(traits: np.ndarray, ridge: float) -> tuple[np.ndarray, np.
     return r, np.linalg.pinv(r)
 
 
-def multivariate_scan(markers: DataFrame, prepared: Prepared, ridge: float = 1e-6, drop_monomorphic: bool = True) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+def multivariate_scan(markers: DataFrame, prepared: Prepared, ridge: float = 1e-6, drop_monomorphic: bool = True, chunk_size: int | None = None) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """(marker_idx, marker_id, n_traits, chi2, df, p_value, -log10_p) for each marker, the traits' correlation and its
     inverse: chi2 is the quadratic form of the marker's t statistics, with as many degrees of freedom as traits."""
     n, k = prepared.traits.shape
     if n <= 2:
         raise ValueError("more than two samples are needed")
+    if prepared.traits.nbytes + 8 * k * k > BROADCAST_BYTES:
+        raise ValueError(f"the joint test of {k} traits and {n} samples needs more than {BROADCAST_BYTES} bytes a task")
     corr, inverse = trait_correlation(prepared.traits, ridge)
     shared = markers.sparkSession.sparkContext.broadcast((prepared.traits, inverse))
 
     def run(batches):
         y, w = shared.value
         for batch in batches:
-            for part, g in _blocks(batch, n):
+            for part, g in _blocks(batch, n, chunk_size):
                 _, t, sd = correlate(g, y, np.float64)
                 keep = np.flatnonzero(sd > 0) if drop_monomorphic else np.arange(len(sd))
                 z = t[keep]

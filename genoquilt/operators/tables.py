@@ -8,9 +8,18 @@ from pyspark.sql import functions as F
 FALLBACK_IDS = ("sampleid", "sample_id", "ID", "id")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def keep_first(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """The first row of each key by ``order``. Spark plans it as a window group limit: one row a key and task is shuffled."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+    n = unused(df, "n")
+    return df.withColumn(n, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(n) == 1).drop(n)
 
 
 def sample_id_column(columns: list[str], wanted: str = "IID") -> str:
@@ -53,7 +62,8 @@ def intersect_in_order(samples: DataFrame, *tables: tuple[DataFrame, str]) -> Da
 
 def filter_to_ids(table: DataFrame, keep: DataFrame, id_col: str = "IID", require_all: bool = True, order: list | None = None) -> DataFrame:
     """The table's first row for each of ``keep`` (idx, id), with idx; ``require_all`` raises for ids without one."""
-    found = keep_first(table.withColumn("_at", F.struct(*order) if order else F.monotonically_increasing_id()), [id_col], ["_at"]).drop("_at")
+    at = unused(table, "at")
+    found = keep_first(table.withColumn(at, F.struct(*order) if order else F.monotonically_increasing_id()), [id_col], [at]).drop(at)
     if require_all and (n := missing_ids(keep, table, id_col).count()):
         raise ValueError(f"{n} requested samples are not in the table")
     return keep.join(found, keep["id"] == found[id_col].cast("string")).drop("id")
@@ -61,8 +71,9 @@ def filter_to_ids(table: DataFrame, keep: DataFrame, id_col: str = "IID", requir
 
 def concat_tables(first: DataFrame, second: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Both tables' rows; of a key the first table's come first, then by ``order``."""
-    both = first.withColumn("_t", F.lit(0)).unionByName(second.withColumn("_t", F.lit(1)))
-    return keep_first(both, keys, ["_t", *order]).drop("_t")
+    t = unused(first, "t")
+    both = first.withColumn(t, F.lit(0)).unionByName(second.withColumn(t, F.lit(1)))
+    return keep_first(both, keys, [t, *order]).drop(t)
 
 
 def is_missing(c: Column) -> Column:
@@ -81,3 +92,14 @@ def assert_complete(df: DataFrame, columns: list[str], what: str) -> None:
 
 def complete_cases(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.where(~F.greatest(*(is_missing(F.col(c).cast("double")) for c in columns), F.lit(False)))
+
+
+def prefixed_columns(columns: list[str], prefix: str, count: int | None = None) -> list[str]:
+    """The columns whose name starts with ``prefix``, in order; the first ``count`` of them if given."""
+    found = [c for c in columns if c.startswith(prefix)]
+    return found if count is None else found[:count]
+
+
+def first_rows(df: DataFrame, order: list[str | Column], count: int) -> DataFrame:
+    """The first ``count`` rows by ``order``; each task keeps no more than that."""
+    return df.orderBy(*order).limit(count)

@@ -122,10 +122,11 @@ def _metadata(analysis, spark, started, inputs, q, shape, device, chunk_size, sa
 def run_linear(
     spark: SparkSession, genotype, phenotype=None, covariates=None, phenotype_table=None, covariates_table=None, trait_columns=None, covariate_columns=None, genotype_format="auto", sample_file=None,
     genotype_cache_dir=None, bim=None, fam=None, plink2_binary=None, sample_id_column="IID", sample_ids=None, marker_ids=None, device="auto", compute_dtype="auto", chunk_size=None, topk_per_trait=None,
-    p_value_threshold=None, return_beta=True, return_se=True, return_t=True, output_dir=None, drop_monomorphic=None, distributed_output=False,
+    p_value_threshold=None, return_beta=True, return_se=True, return_t=True, output_dir=None, drop_monomorphic=None, distributed_output=True,
 ) -> LinearResult:
     """Association of every marker with every trait. Thresholds and limits apply in every mode. Markers without variance are
-    dropped unless the genotype is disk-backed (or as ``drop_monomorphic`` says). ``output_dir`` gets results, run.json and qc.json."""
+    dropped unless the genotype is disk-backed (or as ``drop_monomorphic`` says). ``output_dir`` gets results, run.json and qc.json:
+    a folder ``results`` of parts that the tasks write, or without ``distributed_output`` one file in order of markers."""
     started = time.time()
     if topk_per_trait is not None and topk_per_trait <= 0:
         raise ValueError("topk_per_trait must be positive")
@@ -139,7 +140,7 @@ def run_linear(
     inputs = collect_inputs(spark, g, phenotype, covariates, phenotype_table, covariates_table, trait_columns, covariate_columns, sample_id_column, sample_ids, None, {}, drop)
     used = compute_dtype if compute_dtype != "auto" else "float32" if g.disk_backed else "float64"
     y, q = scan.residualise(inputs.phenotype, inputs.covariates)
-    found = scan.linear_scan(g.markers, scan.Prepared(y, q, inputs.trait_names), used, drop, p_value_threshold, topk_per_trait)
+    found = scan.linear_scan(g.markers, scan.Prepared(y, q, inputs.trait_names), used, drop, p_value_threshold, topk_per_trait, chunk_size)
     names = F.array(*map(F.lit, inputs.trait_names))
     columns = ["marker_id", F.element_at(names, F.col("trait_idx") + 1).alias("trait"), "n", "p_value", "`-log10_p`"] + ["beta"] * return_beta + ["t_stat"] * return_t + ["se"] * return_se
     order = ["trait_idx", F.desc("-log10_p"), F.desc(F.abs("t_stat")), "marker_idx"] if topk_per_trait else ["marker_idx", "trait_idx"]
@@ -156,8 +157,9 @@ def _write(result, ordered: DataFrame, output_dir, distributed: bool, allow_empt
     out = Path(output_dir)
     out.mkdir(parents=True, exist_ok=True)
     if distributed:
-        sinks.write_rows(result.table, str(out / "results"))
-        result.run_metadata["n_result_rows"] = ordered.sparkSession.read.csv(str(out / "results"), sep="\t", header=True).count()
+        result.run_metadata["n_result_rows"] = n = sinks.write_rows(result.table, str(out / "results"))
+        if not n and not allow_empty:
+            raise ValueError("refusing to write an empty result table")
     else:
         result.run_metadata["n_result_rows"] = sinks.export_rows(ordered, out / "results.tsv.gz", allow_empty)
     result.run_metadata["runtime_seconds"] = time.time() - started
@@ -167,7 +169,7 @@ def _write(result, ordered: DataFrame, output_dir, distributed: bool, allow_empt
 
 def run_multivariate(
     spark: SparkSession, genotype, phenotype=None, covariates=None, phenotype_table=None, covariates_table=None, trait_columns=None, covariate_columns=None, genotype_format="auto", sample_file=None,
-    genotype_cache_dir=None, bim=None, fam=None, plink2_binary=None, sample_id_column="IID", sample_ids=None, marker_ids=None, device="auto", chunk_size=None, output_dir=None, ridge=1e-6, distributed_output=False, allow_disk_backed=True,
+    genotype_cache_dir=None, bim=None, fam=None, plink2_binary=None, sample_id_column="IID", sample_ids=None, marker_ids=None, device="auto", chunk_size=None, output_dir=None, ridge=1e-6, distributed_output=True, allow_disk_backed=True,
 ) -> MultivariateResult:
     """One joint test a marker over all traits. Disk-backed genotypes are scanned too, unless ``allow_disk_backed`` is off."""
     started = time.time()
@@ -177,7 +179,7 @@ def run_multivariate(
         raise NotImplementedError("the multivariate scan of disk-backed genotypes is switched off")
     inputs = collect_inputs(spark, g, phenotype, covariates, phenotype_table, covariates_table, trait_columns, covariate_columns, sample_id_column, sample_ids, None, {}, True)
     y, q = scan.residualise(inputs.phenotype, inputs.covariates)
-    found, corr, inverse = scan.multivariate_scan(g.markers, scan.Prepared(y, q, inputs.trait_names), ridge)
+    found, corr, inverse = scan.multivariate_scan(g.markers, scan.Prepared(y, q, inputs.trait_names), ridge, chunk_size=chunk_size)
     columns = ["marker_id", "n_traits", "chi2", "df", "p_value", "`-log10_p`"]
     meta = _metadata("multivariate", spark, started, inputs, q, [g.n_samples, inputs.qc["genotype_columns_kept"]], device, chunk_size, sample_id_column)
     meta |= {"corr_inverse_shape": list(inverse.shape), "ridge": ridge} | g.meta
@@ -189,24 +191,40 @@ def run_multivariate(
 
 
 def run_unrelated(spark, genotype, cutoff=0.0884, output_dir=None, **linear) -> tuple[LinearResult, list[str]]:
-    """A linear scan over the samples that kinship pruning keeps, on markers observed in all of them. Needs sample ids."""
+    """A linear scan over the samples that kinship pruning keeps, on markers observed in all of them. Needs sample ids.
+    ``output_dir`` also gets keep.txt (family and sample id; the sample id twice where no .fam names families) and
+    unrelated_summary.json."""
     from ..operators import relatedness
 
     options = {k: linear.pop(k) for k in ("genotype_format", "bim", "fam", "sample_file") if k in linear}
+    families = _families(genotype, options)
     g = as_genotype(spark, genotype, linear.pop("marker_ids", None), **{{"genotype_format": "fmt"}.get(k, k): v for k, v in options.items()})
-    ids = linear.pop("sample_ids", None) or g.sample_ids
+    given = linear.pop("sample_ids", None)
+    ids = g.sample_ids if given is None else genotypes.read_ids(given) if isinstance(given, (str, Path)) else list(map(str, given))
     if ids is None:
         raise ValueError("kinship pruning requires sample IDs")
-    keep = relatedness.unrelated(relatedness.kinship_pairs(g.markers, g.n_samples), g.n_samples, cutoff)
+    unrelated = keep = relatedness.unrelated(relatedness.kinship_pairs(g.markers, g.n_samples, cutoff), g.n_samples, cutoff)
     for name in ("phenotype_table", "covariates_table"):
         if (t := linear.get(name)) is not None:
             df = t if isinstance(t, DataFrame) else genotypes.read_table(spark, str(t))
-            col = linear.get("sample_id_column", "IID")
-            held = {r[0] for r in df.select(F.col(col).cast("string")).distinct().collect()}
-            keep = [i for i in keep if ids[i] in held]
+            col = tables.sample_id_column(df.columns, linear.get("sample_id_column", "IID"))
+            samples = spark.createDataFrame([(i, ids[i]) for i in keep], "idx long, id string")
+            keep = sorted(r["idx"] for r in tables.intersect_in_order(samples, (df, col)).collect())
     if not keep:
         raise ValueError("no unrelated sample is in every input")
     at = F.array(*map(F.lit, keep))
     chosen = g.markers.withColumn("g", F.transform(at, lambda i: F.get("g", i))).where(~F.exists("g", lambda x: x.isNull() | F.isnan(x)))
     kept = dataclasses.replace(g, markers=chosen, n_samples=len(keep), sample_ids=[ids[i] for i in keep])
-    return run_linear(spark, kept, output_dir=output_dir, **linear), kept.sample_ids
+    result = run_linear(spark, kept, output_dir=output_dir, **linear)
+    if output_dir is not None:
+        summary = {"kinship_cutoff": cutoff, "n_samples": g.n_samples, "n_unrelated": len(unrelated), "n_kept": len(keep), "n_result_rows": result.run_metadata["n_result_rows"]}
+        sinks.write_artefact([f"{families.get(i, i)}\t{i}" for i in kept.sample_ids], Path(output_dir) / "keep.txt")
+        sinks.write_json(summary, Path(output_dir) / "unrelated_summary.json")
+    return result, kept.sample_ids
+
+
+def _families(genotype, options: dict) -> dict[str, str]:
+    """Family ids by sample id, where the genotype is a PLINK path."""
+    if isinstance(genotype, (str, Path)) and genotypes.infer_format(str(genotype), options.get("genotype_format", "auto")) == "plink":
+        return genotypes.family_ids(genotypes.plink_files(str(genotype), fam=options.get("fam"))[2])
+    return {}

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.statistics import correlation, standard_error, t_statistic
 from ..functions.tails import chi_square_upper, negative_log10_col, student_t_two_sided
-from ..operators import gram, layout, relatedness, scan, tables
+from ..operators import concordance, gram, layout, relatedness, scan, tables
 
 MARKERS, TRAITS, COVARIATES = list(range(48)), list(range(48, 56)), [56, 57, 58]
 RIDGE, TOP, LIMIT = 1e-6, 3, 0.05
@@ -80,7 +80,7 @@ def residualize_standardize(spark, sf_dir):
 
 
 def genotype_standardize(spark, sf_dir):
-    some = MARKERS[:4]
+    some = MARKERS
     mean, cov, _ = gram.covariance_matrix(read(spark, sf_dir, "embeddings"), "embedding", some)
     z = F.array(*(F.struct(F.lit(c).alias("marker"), ((F.get("embedding", F.lit(c)).cast("double") - float(m)) / max(float(v) ** 0.5, 1e-12)).alias("z")) for c, m, v in zip(some, mean, np.diag(cov))))
     return read(spark, sf_dir, "embeddings").select("vec_id", F.inline(z)).select("vec_id", "marker", _six("z"))
@@ -129,10 +129,10 @@ def phenotype_correlation(spark, sf_dir):
 
 
 def concordance_native_vs_block(spark, sf_dir):
-    native = _scan(spark, sf_dir, TRAITS[:1]).select(F.col("marker").cast("long").alias("marker_idx"), F.col("nlog10_p").alias("a"))
-    block = scan.linear_scan(*_cohort(spark, sf_dir, TRAITS[:1])).select("marker_idx", F.col("-log10_p").alias("b"))
-    gap = F.abs(F.col("a") - F.col("b"))
-    return native.join(block, "marker_idx").agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("a", "b"), 6).alias("pearson_r"), F.round(F.avg(gap), 6).alias("mean_abs_diff"), F.round(F.max(gap), 6).alias("max_abs_diff"))
+    native = _scan(spark, sf_dir, TRAITS[:1]).select(F.col("marker").cast("long").alias("marker_idx"), "p_value")
+    block = scan.linear_scan(*_cohort(spark, sf_dir, TRAITS[:1]))
+    found = concordance.agreement(native, block, "marker_idx")
+    return found.select("n", *map(_six, ("pearson_r", "mean_abs_diff", "max_abs_diff")))
 
 
 def _cells(spark, sf_dir) -> DataFrame:
@@ -298,7 +298,7 @@ def oracle_sql() -> dict[str, str]:
 r AS (SELECT CAST(k AS INTEGER) AS marker, trait, count(*) AS n, avg(x * y) / stddev_pop(x) AS beta FROM cells JOIN traits USING (vec_id) WHERE k < 48 GROUP BY 1, 2)
 SELECT marker, trait, n, round(beta, 6) AS beta, round(beta * sqrt((n - 2) / (1 - beta * beta)), 6) AS t_stat FROM r"""),
         "residualize_standardize": _steps(" SELECT vec_id, round(y, 6) AS y_hat FROM s5"),
-        "genotype_standardize": f"WITH {_CELLS} SELECT vec_id, CAST(k AS INTEGER) AS marker, round((x - avg(x) OVER (PARTITION BY k)) / stddev_pop(x) OVER (PARTITION BY k), 6) AS z FROM cells WHERE k < 4",
+        "genotype_standardize": f"WITH {_CELLS} SELECT vec_id, CAST(k AS INTEGER) AS marker, round((x - avg(x) OVER (PARTITION BY k)) / stddev_pop(x) OVER (PARTITION BY k), 6) AS z FROM cells WHERE k < 48",
         "p_value_threshold": f"{_tested(55)} SELECT CAST(marker AS INTEGER) AS marker, CAST(trait AS INTEGER) AS trait, round(p, 6) AS p_value FROM scanned WHERE p <= {LIMIT}",
         "topk_per_trait": f"{_tested(55)} SELECT marker, CAST(trait AS INTEGER) AS trait, round(-log10(p), 6) AS nlog10_p FROM scanned QUALIFY {top} <= {TOP}",
         "threshold_then_topk": f"{_tested(55)} SELECT marker, CAST(trait AS INTEGER) AS trait, round(-log10(p), 6) AS nlog10_p FROM scanned WHERE p <= {LIMIT} QUALIFY {top} <= {TOP}",
@@ -308,7 +308,11 @@ z AS (SELECT marker, max(t_stat) FILTER (trait = 48) AS u, max(t_stat) FILTER (t
 q AS (SELECT marker, ((1 + {RIDGE}) * (u * u + v * v) - 2 * r * u * v) / ((1 + {RIDGE}) * (1 + {RIDGE}) - r * r) AS chi2 FROM z CROSS JOIN c)
 SELECT marker, CAST(2 AS INTEGER) AS n_traits, CAST(2 AS INTEGER) AS df, round(chi2, 6) AS chi2, round(exp(-chi2 / 2), 6) AS p_value FROM q""",
         "phenotype_correlation": f"WITH {_CELLS} SELECT CAST(a.k AS INTEGER) AS trait_a, CAST(b.k AS INTEGER) AS trait_b, round(corr(a.x, b.x) + CASE WHEN a.k = b.k THEN {RIDGE} ELSE 0 END, 6) AS r FROM cells a JOIN cells b USING (vec_id) WHERE a.k BETWEEN 48 AND 55 AND b.k BETWEEN 48 AND 55 GROUP BY a.k, b.k",
-        "concordance_native_vs_block": "SELECT CAST(48 AS BIGINT) AS n, CAST(1 AS DOUBLE) AS pearson_r, CAST(0 AS DOUBLE) AS mean_abs_diff, CAST(0 AS DOUBLE) AS max_abs_diff",
+        "concordance_native_vs_block": f"""{_tested(48)}, again AS (
+  SELECT g.k AS marker, count(*) AS n, corr(g.x, y.x) AS r FROM cells g JOIN cells y USING (vec_id) WHERE g.k < 48 AND y.k = 48 GROUP BY 1),
+tested_again AS (SELECT marker, n, r * sqrt((n - 2) / (1 - r * r)) AS t_stat FROM again), other AS (SELECT marker, {_TAIL} AS p FROM tested_again),
+both_p AS (SELECT -log10(scanned.p) AS a, -log10(other.p) AS b FROM scanned JOIN other USING (marker))
+SELECT count(*) AS n, round(corr(a, b), 6) AS pearson_r, round(avg(abs(a - b)), 6) AS mean_abs_diff, round(max(abs(a - b)), 6) AS max_abs_diff FROM both_p""",
         "dosage_matrix": f"WITH {_BRANDS} SELECT brand, (SELECT count(*) FROM customer) - count(*) AS dosage_0, count(*) FILTER (n = 1) AS dosage_1, count(*) FILTER (n >= 2) AS dosage_2 FROM cells JOIN customer USING (c_custkey) GROUP BY 1",
         "linear_scan_star": f"""WITH {_BRANDS}, grid AS (SELECT b.brand, c.c_custkey, c.c_acctbal AS y, CAST(least(coalesce(n, 0), 2) AS DOUBLE) AS g FROM customer c CROSS JOIN (SELECT DISTINCT brand FROM cells) b LEFT JOIN cells USING (c_custkey, brand)),
 r AS (SELECT brand, count(*) AS n, (avg(g * y) - avg(g) * avg(y)) / (stddev_pop(g) * stddev_pop(y)) AS beta FROM grid GROUP BY 1)
@@ -319,7 +323,8 @@ SELECT brand, n, round(beta, 6) AS beta, round(beta * sqrt((n - 2) / (1 - beta *
         "id_intersection": "SELECT c_custkey AS idx, CAST(c_custkey AS VARCHAR) AS id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AND c_custkey IN (SELECT user_id FROM events)",
         "filter_to_ids": "SELECT o_custkey AS idx, o_orderkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT user_id FROM events) QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, o_totalprice) = 1",
         "qc_zero_variance": f"WITH {_CELLS} SELECT CAST(k AS INTEGER) AS marker, stddev_pop(x) > 0 AS kept FROM cells WHERE k < 48 GROUP BY k UNION ALL SELECT CAST(64 AS INTEGER), false",
-        "qc_counts": "SELECT CAST(49 AS BIGINT) AS columns_input, count(*) AS columns_kept, 49 - count(*) AS columns_dropped FROM (SELECT k FROM (SELECT unnest(range(0, 64)) AS k, unnest(embedding) AS x FROM embeddings) WHERE k < 48 GROUP BY k HAVING stddev_pop(x) > 0)",
+        "qc_counts": f"""WITH {_CELLS}, spread AS (SELECT k, stddev_pop(x) > 0 AS kept FROM cells WHERE k < 48 GROUP BY k UNION ALL SELECT 64, stddev_pop(1.0) > 0 FROM embeddings)
+SELECT count(*) AS columns_input, count(*) FILTER (kept) AS columns_kept, count(*) FILTER (NOT kept) AS columns_dropped FROM spread""",
         "missing_check": "SELECT " + ", ".join(f"count(*) FILTER ({c} IS NULL OR isnan({c})) AS {c}" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")) + " FROM lineitem",
         "complete_case": "SELECT c_custkey, c_acctbal, max(value) AS top_value FROM customer JOIN events ON c_custkey = user_id WHERE c_acctbal IS NOT NULL GROUP BY 1, 2 HAVING max(value) IS NOT NULL",
         "tables_union_dedup": "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id % 2, ts, event_id) = 1",

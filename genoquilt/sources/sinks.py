@@ -7,12 +7,17 @@ import gzip
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 
-def write_rows(df: DataFrame, path: str) -> None:
-    """Distributed: a folder of gzipped tab-separated parts with headers."""
-    df.write.option("sep", "\t").option("header", True).option("compression", "gzip").mode("overwrite").csv(path)
+def write_rows(df: DataFrame, path: str) -> int:
+    """Distributed: a folder of gzipped tab-separated parts with headers; returns the number of rows, counted as they
+    are written."""
+    rows = Observation()
+    df.observe(rows, F.count(F.lit(1)).alias("n")).write.option("sep", "\t").option("header", True).option("compression", "gzip").mode("overwrite").csv(path)
+    return rows.get["n"]
 
 
 def export_rows(df: DataFrame, path: str | Path, allow_empty: bool = True) -> int:
@@ -34,3 +39,14 @@ def export_rows(df: DataFrame, path: str | Path, allow_empty: bool = True) -> in
 def write_json(value, path: str | Path) -> None:
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     Path(path).write_text(json.dumps(value, indent=2, sort_keys=True) + "\n")
+
+
+def write_artefact(value, path: str | Path) -> None:
+    """An array as .npy, a list as lines, anything else as JSON."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    if isinstance(value, np.ndarray):
+        np.save(path, value)
+    elif isinstance(value, list):
+        Path(path).write_text("".join(f"{x}\n" for x in value))
+    else:
+        write_json(value, path)

@@ -2,14 +2,15 @@
 
 import gzip
 import json
+import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from genoquilt import run_linear, run_multivariate
+from genoquilt import run_linear, run_multivariate, toy_dataset
 from genoquilt.functions import tails
-from genoquilt.operators import gram, layout, relatedness, scan, tables
+from genoquilt.operators import concordance, gram, layout, relatedness, scan, tables
 from genoquilt.plans import cli, fixtures
 from genoquilt.plans.api import run_unrelated
 from genoquilt.sources import genotypes
@@ -26,6 +27,23 @@ def test_tails():
     assert tails.negative_log10([0.0, 1.0])[0] == pytest.approx(307.652655568588, rel=1e-12)
 
 
+def test_tails_at_large_degrees_of_freedom():
+    """Against the closed forms of whole degrees of freedom, and against the expansion by the normal tail."""
+    t = np.array([1e-3, 0.5, 1.0, 1.7, 1.74, 3.0, 8.0, 30.0])
+    assert tails.student_t_two_sided(t, 2) == pytest.approx(2 / ((2 + t * t) * (1 + t / np.sqrt(2 + t * t))), rel=1e-12)
+    for df in (4094, 20_000):
+        for x in (0.3, 1.7, 2.5, 6.0):
+            steps = np.linspace(x, x + 12, 400_001)  # Simpson's rule on the density
+            density = np.exp(-(df + 1) / 2 * np.log1p(steps**2 / df)) * tails._half_gamma_ratio(df / 2) / np.sqrt(np.pi * df)
+            area = (density[0] + density[-1] + 4 * density[1::2].sum() + 2 * density[2:-1:2].sum()) * (steps[1] - steps[0]) / 3
+            assert tails.student_t_two_sided(x, df)[0] == pytest.approx(2 * area, rel=1e-11)
+    for p in (0.9, 0.05, 5e-8, 1e-200):
+        c = tails.critical_t(p, 500)
+        assert tails.student_t_two_sided(c, 500)[0] == pytest.approx(p, rel=1e-8) and tails.student_t_two_sided(c, 500)[0] >= p
+    assert tails.chi_square_upper([1.0, 4.0, 30.0], 1) == pytest.approx([math.erfc(math.sqrt(x / 2)) for x in (1.0, 4.0, 30.0)], rel=1e-12)
+    assert tails.chi_square_upper([0.0, np.inf, np.nan], 3)[:2].tolist() == [1.0, 0.0]
+
+
 def brute(g, y, c):
     y = y - y.mean(0)
     if c is not None:
@@ -39,7 +57,7 @@ def brute(g, y, c):
 
 def test_toy_linear_and_multivariate_goldens(spark, tmp_path):
     toy = fixtures.toy_cohort()
-    common = dict(phenotype=toy["phenotype"], covariates=toy["covariates"], marker_ids=toy["marker_ids"], sample_ids=toy["sample_ids"])
+    common = dict(phenotype=toy["phenotype"], covariates=toy["covariates"], marker_ids=toy["marker_ids"], sample_ids=toy["sample_ids"], distributed_output=False)
     out = run_linear(spark, toy["genotype"], output_dir=tmp_path / "linear", **common)
     rows = out.table.collect()
     assert len(rows) == 36 and out.table.columns == ["marker_id", "trait", "n", "p_value", "-log10_p", "beta", "t_stat", "se"]
@@ -74,6 +92,9 @@ def test_thresholds_limits_and_drops(spark, tmp_path):
     assert run_linear(spark, g, y, p_value_threshold=1e-300, output_dir=tmp_path / "none").run_metadata["n_result_rows"] == 0
     same = run_linear(spark, np.column_stack([toy["genotype"][:, 2]] * 4), toy["phenotype"], topk_per_trait=2).table.collect()
     assert len(same) == 6 and {r["marker_id"] for r in same} == {"marker_0", "marker_1"}
+    parts = spark.read.csv(str(tmp_path / "results"), sep="\t", header=True)
+    assert parts.count() == 3 and parts.columns == few.table.columns and not (tmp_path / "results.tsv.gz").exists()
+    assert run_linear(spark, g, y, chunk_size=3, topk_per_trait=2).table.count() == 6
     f32 = run_linear(spark, g, y, compute_dtype="float32").table.agg(F.max("-log10_p")).first()[0]
     assert f32 == pytest.approx(max(r["-log10_p"] for r in every), rel=1e-4)
     one = run_multivariate(spark, g, y[:, 0]).table.count()
@@ -99,6 +120,9 @@ def test_gram_path_equals_block_path(spark):
     w = gram.residual_weights(cov, [5, 6], [7, 8])
     y, _ = scan.residualise(x[:, 5:7], x[:, 7:8])
     assert np.allclose((x - mean) @ w, y)
+    with pytest.warns(UserWarning, match="span 1 dimensions"):
+        dependent, basis = scan.residualise(x[:, 5:7], x[:, 7:9])
+    assert np.allclose(dependent, y) and basis.shape == (200, 1)
     found = {(r["marker_idx"], r["trait_idx"]): r["beta"] for r in scan.linear_scan(layout.markers_from_arrays(df, "s", "e", [0, 1, 2]), scan.Prepared(y, None, [])).collect()}
     assert np.allclose([[found[i, j] for j in range(2)] for i in range(3)], (cov[:3] @ w) / x[:, :3].std(0)[:, None])
 
@@ -137,8 +161,22 @@ def test_sources(spark, tmp_path):
     with pytest.raises(ValueError):
         genotypes.open_genotype(spark, "a.bgen")
     (tmp_path / "a.bgen").write_bytes(b"")
+    (tmp_path / "a.sample").write_text("")
     with pytest.raises(RuntimeError):
-        genotypes.from_bgen(spark, str(tmp_path / "a.bgen"), str(tmp_path / "a.sample"), None, str(tmp_path / "cache"))
+        genotypes.from_bgen(spark, str(tmp_path / "a.bgen"), str(tmp_path / "a.sample"), str(tmp_path / "no_plink2"), str(tmp_path / "cache"))
+    tool = tmp_path / "plink2"  # a stand-in that writes a .raw and counts its calls
+    tool.write_text(f'#!/bin/sh\necho x >> {tmp_path}/calls\nwhile [ "$1" != --out ]; do shift; done\ncp {tmp_path}/d.raw "$2.raw"\n')
+    tool.chmod(0o755)
+    for _ in range(2):  # the second time from the cache
+        bgen = genotypes.open_genotype(spark, str(tmp_path / "a.bgen"), sample_file=str(tmp_path / "a.sample"), plink2=str(tool), cache_dir=str(tmp_path / "cache"))
+        assert bgen.disk_backed and bgen.sample_ids == raw.sample_ids and np.array_equal(as_matrix(bgen.markers), g)
+    assert (tmp_path / "calls").read_text() == "x\n"
+    assert genotypes.family_ids(str(tmp_path / "c.fam"))["s3"] == "f"
+    (tmp_path / "x.glm.linear").write_text("#CHROM\tID\tTEST\tT_STAT\tP\n1\trs0\tADD\t1.5\t0.1\n1\trs0\tCOV\t9\t0.9\n1\trs1\tADD\tNA\tNA\n1\trs2\tADD\t2\t0.01\n")
+    glm = genotypes.read_glm(spark, str(tmp_path / "x.glm.linear"))
+    mine = spark.createDataFrame([("rs0", 0.1), ("rs1", 0.5), ("rs2", 0.001), ("rs9", 0.5)], "marker_id string, p_value double")
+    got = concordance.agreement(mine, glm).first()
+    assert got["n"] == 2 and got["max_abs_diff"] == pytest.approx(1.0) and got["mean_abs_diff"] == pytest.approx(0.5)
 
 
 def test_tables_align(spark, tmp_path):
@@ -211,5 +249,14 @@ def test_cli(spark, tmp_path):
     common = ["--genotype", str(tmp_path / "g.npy"), "--phenotype-table", str(tmp_path / "p.csv"), "--covariates", str(tmp_path / "c.npy"), "--sample-ids", str(tmp_path / "ids.txt"), "--trait-columns", "u, v"]
     for command in ("prep", "linear", "multi"):
         assert cli.main([command, *common, "--output-dir", str(tmp_path / command)], spark) == 0
+    assert cli.main(["linear", *common, "--one-file", "--output-dir", str(tmp_path / "one")], spark) == 0 and (tmp_path / "one/results.tsv.gz").exists()
+    assert cli.main(["unrelated", *common, "--cutoff", "0.4", "--output-dir", str(tmp_path / "un")], spark) == 0
+    summary = json.loads((tmp_path / "un/unrelated_summary.json").read_text())
+    keep = [line.split("\t") for line in (tmp_path / "un/keep.txt").read_text().splitlines()]
+    assert summary["n_kept"] == len(keep) <= 64 and all(a == b for a, b in keep)
+    paths = toy_dataset(tmp_path / "toy")
+    assert np.array_equal(np.load(paths["genotype"]), toy["genotype"]) and toy_dataset(tmp_path / "toy") == paths
+    assert tables.prefixed_columns(["a", "PC1", "PC2", "PC3"], "PC", 2) == ["PC1", "PC2"]
+    assert [r["id"] for r in tables.first_rows(spark.range(9), [F.desc("id")], 2).collect()] == [8, 7]
     assert {p.name for p in (tmp_path / "prep").iterdir()} == {"phenotype_processed.npy", "covariate_q.npy", "covariates_aligned.npy", "samples.tsv", "qc.json", "prep.json"}
     assert json.loads((tmp_path / "linear/run.json").read_text())["n_result_rows"] == 24 and json.loads((tmp_path / "multi/run.json").read_text())["trait_columns"] == ["u", "v"]
