@@ -1,11 +1,9 @@
 """License scans by canonical digest: texts are normalised and hash-joined to the digests of known licences.
 
-The canonical form is lower case, drops copyright lines, spells equivalent words one way, and turns all
-but letters and digits into single spaces. Two units are looked up: the entire text, and each of its lines
-(a notice within a document). Only DataFrame expressions and one join with the bounded table of known forms.
-
-An entire text is looked up in a second form too, against full licence texts: this form drops copyright statements
-(a year, a sign or, at the start of a paragraph, a name after the word) and keeps other words that follow "copyright".
+The canonical form is lower case, drops copyright statements (a year, a sign or, at the start of a paragraph, a name after the
+word), spells equivalent words and versions one way, and turns all
+but letters and digits into single spaces. Entire texts are hash-joined to the bounded table of known forms by their digest.
+Each line is a second unit (a notice within a document): its digest is looked up in the set of known ones.
 """
 
 from __future__ import annotations
@@ -13,21 +11,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Equivalent spellings, replaced in this order within the canonical text.
+from .common import fresh
+
+#: Equivalent spellings of whole words, replaced in this order.
 SPELLINGS = [
-    ("licenc", "licens"),
+    ("licence", "license"),
+    ("licences", "licenses"),
+    ("licenced", "licensed"),
+    ("licencing", "licensing"),
+    ("sublicence", "sublicense"),
     ("organisation", "organization"),
+    ("organisations", "organizations"),
     ("colour", "color"),
     ("favour", "favor"),
     ("non commercial", "noncommercial"),
     ("sub license", "sublicense"),
     ("copyright holder", "copyright owner"),
-    ("version 2 0", "2 0"),
-    ("version 3 0", "3 0"),
-    ("version 3", "3 0"),
-    (" v2 0", " 2 0"),
-    (" v3", " 3 0"),
+    ("copyright holders", "copyright owners"),
+    ("https", "http"),
 ]
+#: Versions: "version 2.0", "v2.0", "version 2" and "v2" are all 2 0.
+VERSIONS = [(f"{word}{n} {part}", f"{n} {part}") for n in "1234" for part in "01" for word in ("version ", "v")]
+VERSIONS += [(f"{word}{n}", f"{n} 0") for n in "234" for word in ("version ", "v")]
 
 #: Short notices and short licences, by SPDX identifier, as their publishers word them.
 NOTICES = [
@@ -58,19 +63,6 @@ The above copyright notice and this permission notice shall be included in all c
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
 ]
 
-#: A copyright line of the lower-cased text, and what separates words.
-COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$"
-SEPARATOR = r"[^\p{L}\p{N}]+"
-
-
-def canonical(text: Column) -> Column:
-    """The canonical form of a text; null stays null. Spellings are literal replacements, which cost a scan for bytes."""
-    out = F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " "), SEPARATOR, " ")
-    for a, b in SPELLINGS:
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return F.trim(out)
-
-
 #: Full texts of short licences, without titles and copyright statements, and the titles they go by.
 _MIT = next(t for i, t in NOTICES if t.startswith("MIT License")).split("\n\n", 2)[2]
 _0BSD = next(t for i, t in NOTICES if i == "0BSD")
@@ -108,23 +100,23 @@ TEXTS = [
     ("Unlicense", ["The Unlicense", "Unlicense"], [_UNLICENSE, f"{_UNLICENSE} {_MORE}", f"{_UNLICENSE} {_MORE.rstrip('/>')}"]),
 ]
 
-#: SHA-256 of the second form of long licence texts (Debian's /usr/share/common-licenses).
+#: SHA-256 of the canonical form of long licence texts (Debian's /usr/share/common-licenses).
 DIGESTS: dict[str, str] = {
     "bebc0974f0c6e7ff459bdb2f690fc5954a1b85721c2f8d4d14c1b1b36c95aeb4": "Apache-2.0",
-    "82c3372e6c46ee6860b6f7e8795385b2f852f6f2f09ec44ef6d48071f6f92c7b": "Apache-2.0",
     "46511498b7f84d5e9cecb77e4ff892243bbc369402778c7b7718ff114a349b62": "Apache-2.0",
+    "82c3372e6c46ee6860b6f7e8795385b2f852f6f2f09ec44ef6d48071f6f92c7b": "Apache-2.0",
     "795f9bb1bf2c1f6524cdb7fad0ead517490a53781c3a6f01c07e45da0e6c1687": "Artistic-1.0-Perl",
     "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f": "CC0-1.0",
     "b6270c129be9b0e0172ebf4f39b974d927f155b0569e6689a4fd15068977ecdd": "GFDL-1.2-only",
     "7a546845f0b9175c013adbd275ab046668c2cd62fa85809f866f6d3218d6adcd": "GFDL-1.3-only",
     "37f380f152339f34a15db620545eb53f0b5c7d9e6a9542aa09ed0d22f186920f": "GPL-1.0-only",
-    "ae2be2aaa68f5e52ef402874fc8c7c691879b445cb12e49d84f88168cc2d7dd6": "GPL-2.0-only",
+    "9b2bfed4a167ee57b9fdbf97f9086c5deda7d711d6e6fcdb4d978b468558a080": "GPL-2.0-only",
     "9c1d95c42937ba735a5bfd8101dc3e4d1ed596038b05f22be654e627c2ab4be2": "GPL-3.0-only",
-    "bea988245c65edbddad6f43ff12ca2472c232324e916d42648b90eac944d833e": "LGPL-2.0-only",
-    "ed875dac9045cba09a17867210991f3a4a82f80b82096b054560a3a8dae9d692": "LGPL-2.1-only",
+    "0a9aff3f657f9d838df7020765ae99578ded18aebb915198c9a38e1d7521ced7": "LGPL-2.0-only",
+    "e2943f5da7ef6b3add61b3d7bef4f639bff6720238c6ff35e5bc66aa2717d0da": "LGPL-2.1-only",
     "03537efc9e8cdf64e4b5cde6ce3c38e080e6acf7952692e0abe3616ac667ae0b": "LGPL-3.0-only",
-    "b3f4a3edd72ca8bda0e94a193ca6314cbc0e1d04d1f700b8b7668fef90edaaf4": "MPL-1.1",
-    "924fa60063e159c66ee97fcda078fd284a9679d65843a6fa3114b5716ee08415": "MPL-2.0",
+    "1eebcbe820cf327b930dce7adaf607e89a5938e1c82a750538cf203310f07752": "MPL-1.1",
+    "62aa6121738c213ee6d4023a5f1f4d76fd550ca7234c4000bc8e81d41116ac7f": "MPL-2.0",
     "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651": "BSD-3-Clause",
 }
 
@@ -136,41 +128,77 @@ STATEMENT = (
 )
 
 
-def whole_form(text: Column) -> Column:
-    """The second form, of entire texts: as ``canonical``, but only copyright statements are dropped."""
-    out = F.regexp_replace(F.regexp_replace(F.lower(text), STATEMENT, " "), SEPARATOR, " ")
-    for a, b in [*SPELLINGS, ("https ", "http ")]:
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return F.trim(out)
+#: What a text with a copyright statement holds; others are not searched for one.
+STATEMENT_MARKS = ("copyright", "(c)", "©")
+SEPARATOR, SEPARATOR_IN_LINE = r"[^\p{L}\p{N}]+", r"[^\p{L}\p{N}\n]+"
 
 
-def text_digests(spark: SparkSession) -> dict[str, str]:
-    """Digest of the second form -> licence, for the full texts with each of their titles and without."""
-    rows = spark.createDataFrame([(i, f"{title}\n\n{body}") for i, titles, bodies in TEXTS for title in ["", *titles] for body in bodies], "license string, text string")
-    return DIGESTS | {r["digest"]: r["license"] for r in rows.select(F.sha2(whole_form(F.col("text")), 256).alias("digest"), "license").collect()}
+def _spelled(words: Column) -> Column:
+    """Words that have two blanks around them, in their one spelling: rules meet whole words, also one after the other."""
+    wide = lambda text: F.lit(f"  {text.replace(' ', '  ')}  ")
+    for a, b in SPELLINGS:
+        words = F.replace(words, wide(a), wide(b))
+    return words
+
+
+def _versioned(words: Column) -> Column:
+    wide = lambda text: F.lit(f"  {text.replace(' ', '  ')}  ")
+    out = words
+    for a, b in VERSIONS:
+        out = F.replace(out, wide(a), wide(b))
+    marks = F.contains(words, F.lit("  version  "))
+    for n in "1234":
+        marks = marks | F.contains(words, F.lit(f"  v{n}  "))
+    return F.when(marks, out).otherwise(words)
+
+
+def with_forms(df: DataFrame, text_col: str) -> tuple[DataFrame, str, str]:
+    """``df`` with the canonical form of the entire text and the array of those of its lines, and the names of both."""
+    whole, lines = fresh(df, "_whole"), fresh(df, "_lines")
+    pad = lambda c: F.concat(F.lit("  "), c, F.lit("  "))
+    marked = F.lit(False)
+    for mark in STATEMENT_MARKS:
+        marked = marked | F.contains(F.col(lines), F.lit(mark))
+    # step by step, so that no step is computed twice
+    df = df.withColumn(lines, F.lower(text_col))
+    df = df.withColumn(lines, F.when(marked, F.regexp_replace(lines, STATEMENT, " ")).otherwise(F.col(lines)))
+    df = df.withColumns({whole: pad(F.regexp_replace(lines, SEPARATOR, "  ")), lines: pad(F.replace(F.regexp_replace(lines, SEPARATOR_IN_LINE, "  "), F.lit("\n"), F.lit("  \n  ")))})
+    df = df.withColumns({c: _spelled(F.col(c)) for c in (whole, lines)})
+    df = df.withColumns({c: F.replace(_versioned(F.col(c)), F.lit("  "), F.lit(" ")) for c in (whole, lines)})
+    return df.withColumns({whole: F.trim(whole), lines: F.transform(F.split(lines, "\n"), lambda x: F.trim(x))}), whole, lines
 
 
 def known_digests(spark: SparkSession, notices: list[tuple[str, str]] = NOTICES) -> DataFrame:
-    """(digest, license): one row a canonical form; its size is that of the given list."""
-    rows = spark.createDataFrame(notices, "license string, text string")
-    return rows.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+    """(digest, license): one row a canonical form, of the notices, the full texts with each of their titles and without, and the
+    long texts; its size is that of these lists."""
+    texts = [(i, f"{title}\n\n{body}") for i, titles, bodies in TEXTS for title in ["", *titles] for body in bodies]
+    rows, whole, _ = with_forms(spark.createDataFrame([*notices, *texts], "license string, text string"), "text")
+    digests = rows.select(F.sha2(whole, 256).alias("digest"), "license")
+    long = spark.createDataFrame([(d, i) for d, i in DIGESTS.items()], "digest string, license string")
+    return digests.unionByName(long).groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_digest, text_license, line_licenses array<string>, n_lines long) for each row.
 
-    ``text_license``: the licence whose digest the entire text has, in either form, else null. ``line_licenses``: sorted distinct
+    ``text_license``: the licence whose digest the entire text has, else null. ``line_licenses``: sorted distinct
     licences of its lines, ``n_lines`` the number of lines that hit. A null text has null digest and no hits; a text
-    or line without letters and digits hits nothing. Rows are kept as they are, repeated ones and null ids too.
+    or line without letters and digits hits nothing. Rows are kept as they are, repeated ones and null ids too. Other columns
+    are ignored. An empty table gives no rows.
 
-    ``known`` is a bounded list; it becomes one map constant of the plan, looked up per digest without a shuffle.
+    ``known`` is a bounded list with one row a digest: it is broadcast to the hash join, and its digests are one
+    array of the plan for the lines, of which only those that hit are looked up.
     """
-    table = {r["digest"]: r["license"] for r in known.collect()}
+    names = {r["digest"]: r["license"] for r in known.collect()}
     empty = F.sha2(F.lit(""), 256)
-    forms = F.create_map(*[F.lit(x) for pair in sorted(table.items()) for x in pair]) if table else F.expr("cast(map() as map<string,string>)")
-    texts = F.create_map(*[F.lit(x) for pair in sorted(text_digests(docs.sparkSession).items()) for x in pair])
-    lines = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: F.sha2(canonical(x), 256))
-    hits = F.filter(F.transform(lines, lambda d: F.try_element_at(forms, d)), lambda x: x.isNotNull())
-    out = docs.select(F.col(id_col).alias("id"), F.sha2(canonical(F.col(text_col)), 256).alias("text_digest"), F.sha2(whole_form(F.col(text_col)), 256).alias("whole_digest"), hits.alias("hits"))
-    whole = F.when(F.col("text_digest") != empty, F.coalesce(F.try_element_at(forms, F.col("text_digest")), F.try_element_at(texts, F.col("whole_digest"))))
-    return out.select(F.col("id").alias(id_col), "text_digest", whole.alias("text_license"), F.array_sort(F.array_distinct("hits")).alias("line_licenses"), F.size("hits").cast("long").alias("n_lines"))
+    rows, whole, lines = with_forms(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text")
+    digests = F.transform(lines, lambda x: F.sha2(x, 256))
+    rows = rows.select("id", F.sha2(whole, 256).alias("text_digest"), F.coalesce(digests, F.array().cast("array<string>")).alias("digests"))
+    listed = F.array(*map(F.lit, sorted(names))) if names else F.array().cast("array<string>")
+    rows = rows.withColumn("hits", F.array_except(F.array_intersect("digests", listed), F.array(empty)))
+    of = F.create_map(*[F.lit(x) for pair in sorted(names.items()) for x in pair]) if names else F.expr("cast(map() as map<string,string>)")
+    n_lines = F.when(F.size("hits") > 0, F.size(F.filter("digests", lambda d: F.array_contains("hits", d)))).otherwise(0)
+    table = known.where(F.col("digest") != empty).select(F.col("digest").alias("text_digest"), F.col("license").alias("text_license"))
+    out = rows.join(F.broadcast(table), "text_digest", "left")
+    found = F.array_sort(F.array_distinct(F.transform("hits", lambda d: F.try_element_at(of, d))))
+    return out.select(F.col("id").alias(id_col), "text_digest", "text_license", found.alias("line_licenses"), n_lines.cast("long").alias("n_lines"))

@@ -92,9 +92,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def _canonical_sql(text: str) -> str:
-    out = f"regexp_replace(regexp_replace(lower({text}), '{licenses.COPYRIGHT_LINE}', ' ', 'g'), '{licenses.SEPARATOR}', ' ', 'g')"
-    for a, b in licenses.SPELLINGS:
-        out = f"replace({out}, '{a}', '{b}')"
+    """The canonical form by rules of its own: regular expressions on word ends. Copyright statements are whole lines here."""
+    rules = [
+        (r"(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$", " "), (r"[^\p{L}\p{N}]+", " "), (r"\b(sub)?licenc(e|es|ed|ing)\b", r"\1licens\2"), (r"\borganisation(s?)\b", r"organization\1"),
+        (r"\b(col|fav)our\b", r"\1or"), (r"\bnon commercial\b", "noncommercial"), (r"\bsub license\b", "sublicense"), (r"\bcopyright holder(s?)\b", r"copyright owner\1"),
+        (r"\bhttps\b", "http"), (r"\b(?:version |v)([1-4]) ([01])\b", r"\1 \2"), (r"\b(?:version |v)([234])\b", r"\1 0"),
+    ]
+    out = f"lower({text})"
+    for pattern, by in rules:
+        out = f"regexp_replace({out}, '{pattern}', '{by}', 'g')"
     return f"trim({out})"
 
 
