@@ -8,19 +8,35 @@ from pyspark.sql import functions as F
 
 from .common import cut, forget
 
-#: A node's edges meet its least neighbour in so many tasks, so a hub is dealt out.
-SALTS = 8
+#: A node with at least one in HOT of all edges is a hub, of which there are at most HOT; its edges are dealt to SALTS tasks.
+HOT, LEAST_HOT, SALTS = 1000, 1000, 32
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def hot_keys(counts: DataFrame, key: str, total: int) -> list[int]:
+    """The keys of a table (key, c) that hold at least one in HOT of ``total`` rows: at most HOT of them."""
+    return [r[0] for r in counts.where(F.col("c") >= max(LEAST_HOT, -(-total // HOT))).select(key).collect()]
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, hot: list[int], by: str) -> DataFrame:
+    """``many`` joined to the rows of ``one`` by ``key``. Rows of a hot key are dealt to SALTS tasks by the column ``by``, and
+    that key's row of ``one`` goes to each of them."""
+    if not hot:
+        return many.join(one, key)
+    is_hot, none = F.col(key).isin(hot), F.lit(0)
+    dealt = many.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(none))
+    every = F.array(*map(F.lit, range(SALTS)))
+    copies = one.withColumn("salt", F.explode(F.when(is_hot, every).otherwise(F.array(none))))
+    return dealt.join(copies.hint("merge"), [key, "salt"]).drop("salt")
+
+
+def _star(edges: DataFrame, large: bool, hubs: list[int]) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     if not large:  # each node with its smaller neighbours
         both = both.where(F.col("v") < F.col("u"))
     # partial minima go first, so a hub costs a row a task here
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    far = (both.where(F.col("v") > F.col("u")) if large else both).withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    dealt = least.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    out = far.join(dealt.hint("merge"), ["u", "salt"]).select(F.col("v").alias("a"), F.col("m").alias("b"))
+    far = both.where(F.col("v") > F.col("u")) if large else both
+    out = spread_join(far, least, "u", hubs, "v").select(F.col("v").alias("a"), F.col("m").alias("b"))
     if not large:
         out = out.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     return out.where("a <> b").distinct()
@@ -37,7 +53,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == state or not now[0]:
             break
         state = now
-        after = cut(_star(_star(edges, True), False), "edges")
+        hubs = hot_keys(edges.groupBy("b").agg(F.count(F.lit(1)).alias("c")), "b", now[0]) if now[0] >= LEAST_HOT else []
+        # a hub's edges lead to larger nodes; after the large star a node has few smaller neighbours
+        after = cut(_star(_star(edges, True, hubs), False, []), "edges")
         forget(edges)
         edges = after
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

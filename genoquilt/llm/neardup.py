@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Remembered, cut, forget, fresh, hold
-from .graph import components
+from .graph import components, hot_keys, spread_join
 
 SIGNATURE = 64
 TREES, DEPTH, SMALL_NODE = 8, 12, 48
@@ -40,8 +40,6 @@ DENSE = 0.75
 PART, PART_BYTES = 1024, 8 << 20
 #: Distinct shingles that one product of a block's incidence matrix takes.
 SHINGLES = 4096
-#: A group's or node's size is looked up by its members' key and one of these salts, so a hot one is dealt out.
-SALTS = 8
 #: Bytes of word hashes that a worker remembers.
 CACHE_BYTES = 32 << 20
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -197,30 +195,23 @@ def _likely(least: float):
     return run
 
 
-def _spread_join(members: DataFrame, one: DataFrame, key: str) -> DataFrame:
-    """``members`` with the columns of their key's row in ``one``. A key's members go to SALTS tasks, by document; merged, as
-    many small broadcasts would fill the driver."""
-    salted = one.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    return members.withColumn("salt", F.pmod(F.xxhash64("doc", F.lit(3)), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), [key, "salt"]).drop("salt")
-
-
 def _candidate_links(reps: DataFrame, trees: int, depth: int, least: float) -> DataFrame:
     """Links between documents that may be similar: (a, b)."""
-    members = reps.mapInArrow(_first_children(trees), "node long, doc long").withColumn("above", F.lit(reps.count()))
+    total = reps.count()
+    members = reps.mapInArrow(_first_children(trees), "node long, doc long").withColumn("above", F.lit(total))
     lists, stars = [], []
     for level in range(1, depth + 1):
         if level > 1:
             members = cut(members, "children")
         counts = members.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-        last = members
-        sized = cut(_spread_join(members, counts, "node"), "members")
-        if level > 1:
-            forget(last)
+        hot = hot_keys(counts, "node", total)  # a level has about as many rows as there are documents, or trees times as many
+        last, sized = members, cut(spread_join(members, counts, "node", hot, "doc"), "members")
+        forget(last)
         lists.append(sized.where(F.col("c") <= SMALL_NODE).groupBy("node").agg(F.sort_array(F.collect_list("doc")).alias("docs")).select("docs"))
         big = sized.where(F.col("c") > SMALL_NODE)
         ends = F.col("c") >= DENSE * F.col("above") if level < depth else F.lit(True)
         heads = big.where(ends).groupBy("node").agg(F.min("doc").alias("a"))
-        stars.append(_spread_join(big.where(ends), heads, "node").where("a <> doc").select("a", F.col("doc").alias("b")))
+        stars.append(spread_join(big.where(ends), heads, "node", hot, "doc").where("a <> doc").select("a", F.col("doc").alias("b")))
         big = big.where(~ends)
         if level == depth or big.isEmpty():
             break
@@ -326,7 +317,8 @@ def _components(rows: DataFrame, sketches: DataFrame, k: int, percent: int, tree
     pivot = [F.min(F.struct(F.xxhash64("doc", F.lit(s)).alias("h"), "doc"))["doc"].alias(f"p{s}") for s in range(4)]
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), *pivot)
     sizes = sizes.withColumn("blocks", F.when(F.col("m") <= BLOCK, 1).otherwise(F.ceil(F.col("m") / (BLOCK // 2))).cast("int"))
-    placed = _spread_join(clusters, sizes.select("cluster", "blocks"), "cluster")
+    hot = hot_keys(sizes.withColumnRenamed("m", "c"), "cluster", clusters.count())
+    placed = spread_join(clusters, sizes.select("cluster", "blocks"), "cluster", hot, "doc")
     block = F.when(F.col("blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("doc", F.lit(9)), F.col("blocks"))).cast("int")
     placed = placed.select("doc", "cluster", block.alias("block"), "blocks")
     wide = cut(sizes.where("blocks > 1"), "wide")  # groups beyond a block
@@ -349,7 +341,7 @@ def _components(rows: DataFrame, sketches: DataFrame, k: int, percent: int, tree
         named = inside.join(found.withColumnRenamed("node", "doc").hint("merge"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         counted = named.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("c"))
         main = counted.groupBy("cluster").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
-        apart = cut(_spread_join(named, main, "cluster").where("component <> main").select("doc", "cluster", "blocks"), "apart")
+        apart = cut(spread_join(named, main, "cluster", hot, "doc").where("component <> main").select("doc", "cluster", "blocks"), "apart")
         if not apart.isEmpty():
             size = F.greatest(F.ceil(F.count(F.lit(1)) / PART), F.ceil(F.sum("n") * 8 / PART_BYTES)).cast("int")
             lengths = classes.select(F.col("node").alias("doc"), "n")
@@ -357,8 +349,8 @@ def _components(rows: DataFrame, sketches: DataFrame, k: int, percent: int, tree
             parts = inside.join(lengths, "doc").groupBy("cluster").agg(size.alias("parts")).join(asking, "cluster")
             own = lambda seed, n: F.pmod(F.xxhash64("doc", F.lit(seed)), F.col(n)).cast("int")
             every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-            guests = _spread_join(apart, parts, "cluster").select("doc", "cluster", every("parts").alias("block"), own(5, "subs").alias("sub"), F.lit(True).alias("asks"))
-            hosts = _spread_join(inside, parts, "cluster").select("doc", "cluster", own(9, "parts").alias("block"), every("subs").alias("sub"), F.lit(False).alias("asks"))
+            guests = spread_join(apart, parts, "cluster", hot, "doc").select("doc", "cluster", every("parts").alias("block"), own(5, "subs").alias("sub"), F.lit(True).alias("asks"))
+            hosts = spread_join(inside, parts, "cluster", hot, "doc").select("doc", "cluster", own(9, "parts").alias("block"), every("subs").alias("sub"), F.lit(False).alias("asks"))
             more = cut(_decided(sets, guests.unionByName(hosts), percent), "links")
             found = components(held.unionByName(more))
             forget(more)
