@@ -12,7 +12,7 @@ documents outside the group's largest component are then compared with all block
 Recall: a pair at the threshold of 0.8 misses a tree's first branching with probability 0.2 or 0.04, 0.16 on average, so
 all of eight trees with less than 1e-6. In nodes too large to be compared it is kept to the twelfth level with probability
 0.32 a tree (all trees miss it with 0.05), unless both ends meet in a smaller or denser node before. Signatures of such a
-pair agree in fewer than 35 of 64 coordinates with a probability of 1e-6, and only small nodes look at signatures.
+pair agree in fewer than 36 of 64 coordinates with a probability of 4e-6, and only small nodes look at signatures.
 """
 
 from __future__ import annotations
