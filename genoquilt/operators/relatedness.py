@@ -15,35 +15,61 @@ from pyspark.sql import functions as F
 THRESHOLDS = {"duplicate": 0.354, "first": 0.177, "second": 0.0884, "third": 0.0442}
 
 
-def kinship_pairs(markers: DataFrame, n: int, above: float | None = None) -> DataFrame:
+#: Samples along the side of one tile of pairs; a task holds four counts for each pair of one tile.
+TILE = 2048
+#: Bytes of dosages in one product, and pairs in one batch that leaves a task.
+PRODUCT_BYTES, BATCH_PAIRS = 32 << 20, 1 << 18
+
+
+def kinship_pairs(markers: DataFrame, n: int, above: float | None = None, tile: int = TILE) -> DataFrame:
     """(i, j, n_het_i, n_het_j, n_hethet, n_homopp, phi) for each pair i < j of the n samples of a marker-major
     table, over markers observed in both; phi is null if neither is heterozygous anywhere. Only pairs ``above`` a kinship, if
-    given. A task holds n x n counts."""
-
-    def run(batches):
-        het = np.zeros((n, n))
-        both, opposite = np.zeros((n, n)), np.zeros((n, n))
-        seen = False
-        for batch in batches:
-            if batch.num_rows:
-                seen = True
-                g = batch.column("g").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, n)
-                a, r, z, o = (x.astype(float) for x in (g == 1, g == 0, g == 2, ~np.isnan(g)))
-                both += a.T @ a
-                opposite += r.T @ z + z.T @ r
-                het += a.T @ o
-        if seen:
-            i, j = np.triu_indices(n, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), *(pa.array(x.astype(np.int64)) for x in (het[i, j], het[j, i], both[i, j], opposite[i, j]))], names=["i", "j", "hi", "hj", "aa", "opp"])
-
-    parts = markers.select("g").mapInArrow(run, "i long, j long, hi long, hj long, aa long, opp long")
+    given. Pairs are counted tile by tile, so more than ``tile`` samples take several passes over the markers."""
+    starts, parts = range(0, max(n, 1), tile), None
+    for a in starts:
+        for b in range(a, starts.stop, tile):
+            part = _tile_counts(markers, a, min(tile, n - a), b, min(tile, n - b))
+            parts = part if parts is None else parts.unionByName(part)
     s = parts.groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in ("hi", "hj", "aa", "opp")))
     low = F.least("hi", "hj")
     phi = F.when(low > 0, (F.col("aa") - 2 * F.col("opp")) / (2 * low) + 0.5 - (F.col("hi") + F.col("hj")) / (4 * low))
-    out = s.select("i", "j", F.col("hi").alias("n_het_i"), F.col("hj").alias("n_het_j"), F.col("aa").alias("n_hethet"), F.col("opp").alias("n_homopp"), phi.alias("phi"))
+    counts = {"n_het_i": "hi", "n_het_j": "hj", "n_hethet": "aa", "n_homopp": "opp"}
+    out = s.select("i", "j", *(F.col(c).alias(name) for name, c in counts.items()), phi.alias("phi"))
     return out if above is None else out.where(F.col("phi") > above)
 
 
+def _tile_counts(markers: DataFrame, a: int, rows: int, b: int, columns: int) -> DataFrame:
+    """Each task's counts for the pairs of samples a.. and b.., of which only those two slices reach Python."""
+
+    def matrix(part, name, width):
+        return part.column(name).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, width)
+
+    def run(batches):
+        hi, hj, both, opposite = (np.zeros((rows, columns), np.int64) for _ in range(4))
+        seen, step = False, max(1, PRODUCT_BYTES // (8 * max(rows, columns, 1)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part, seen = batch.slice(at, step), True
+                x, y = matrix(part, "x", rows), matrix(part, "y", columns)
+                # float32 holds whole counts exactly up to 2 ** 24, more than the markers of one product
+                is_x, is_y = ([(g == k).astype(np.float32) for k in (0, 1, 2)] for g in (x, y))
+                hi += (is_x[1].T @ (~np.isnan(y)).astype(np.float32)).astype(np.int64)
+                hj += ((~np.isnan(x)).astype(np.float32).T @ is_y[1]).astype(np.int64)
+                both += (is_x[1].T @ is_y[1]).astype(np.int64)
+                opposite += (is_x[0].T @ is_y[2] + is_x[2].T @ is_y[0]).astype(np.int64)
+        if not seen:
+            return
+        strip = max(1, BATCH_PAIRS // max(columns, 1))
+        for top in range(0, rows, strip):
+            i, j = np.indices((min(strip, rows - top), columns)).reshape(2, -1)
+            i, j = (z[b + j > a + top + i] for z in (i + top, j))
+            counts = (c[i, j] for c in (hi, hj, both, opposite))
+            yield pa.RecordBatch.from_arrays([pa.array(a + i), pa.array(b + j), *map(pa.array, counts)], names=["i", "j", "hi", "hj", "aa", "opp"])
+
+    slices = markers.select(F.slice("g", a + 1, rows).alias("x"), F.slice("g", b + 1, columns).alias("y"))
+    return slices.mapInArrow(run, "i long, j long, hi long, hj long, aa long, opp long")
+
+
 def unrelated(pairs: DataFrame, n: int, cutoff: float = THRESHOLDS["second"]) -> list[int]:
     """Samples kept: while a pair exceeds the cutoff, the sample in most such pairs goes (the last of equals). The pairs
     above the cutoff, which are few, meet on the driver."""

@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from ..functions.statistics import correlation, standard_error, t_statistic
 from ..functions.tails import chi_square_upper, negative_log10_col, student_t_two_sided
 from ..operators import concordance, gram, layout, relatedness, scan, tables
+from ..sources import genotypes, sinks
+from . import api
 
 MARKERS, TRAITS, COVARIATES = list(range(48)), list(range(48, 56)), [56, 57, 58]
 RIDGE, TOP, LIMIT = 1e-6, 3, 0.05
@@ -250,10 +252,73 @@ def unrelated_subset(spark, sf_dir):
     return spark.createDataFrame([(ids[i],) for i in keep], "s_suppkey long")
 
 
+def _supplier_files(spark, sf_dir) -> tuple[str, str, list[str]]:
+    """The suppliers' dosages as a .npy and a .bed file in the shared folder, and the brands in their order. One file has
+    one writer, so its matrix is on the driver."""
+    markers, _, ids = _supplier_dosages(spark, sf_dir)
+    rows = markers.orderBy("marker_id").collect()
+    dosages, folder = np.array([r["g"] for r in rows], float).T.reshape(len(ids), len(rows)), sinks.shared_folder(spark)
+    sinks.write_artefact(dosages, folder / "suppliers.npy")
+    brands = [r["marker_id"] for r in rows]
+    return str(folder / "suppliers.npy"), sinks.write_plink(dosages, brands, list(map(str, ids)), folder / "suppliers"), brands
+
+
+def _dosage_counts(markers: DataFrame) -> DataFrame:
+    counts = [(F.size("g") - F.size(F.array_remove("g", float(k)))).alias(f"dosage_{k}") for k in (0, 1, 2)]
+    return markers.select("marker_idx", "marker_id", *counts)
+
+
+def source_npy(spark, sf_dir):
+    """An array file, its format inferred from its name."""
+    return _dosage_counts(genotypes.open_genotype(spark, _supplier_files(spark, sf_dir)[0]).markers)
+
+
+def source_plink(spark, sf_dir):
+    return _dosage_counts(genotypes.open_genotype(spark, _supplier_files(spark, sf_dir)[1]).markers)
+
+
+def _supplier_traits(spark, sf_dir) -> DataFrame:
+    """A trait table in no order, with ids that the genotype lacks."""
+    traits = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("IID"), F.col("s_acctbal").alias("balance"), F.col("s_nationkey").alias("nation"))
+    return traits.unionByName(traits.withColumn("IID", F.concat(F.lit("other"), "IID")))
+
+
+def _exported(folder) -> DataFrame:
+    spark = SparkSession.getActiveSession()
+    return spark.read.option("sep", "\t").option("header", True).schema("marker_id string, trait string, n long, p_value double, `-log10_p` double, beta double, t_stat double, se double").csv(f"file://{folder}/results")
+
+
+def api_linear_exported(spark, sf_dir):
+    """``run_linear`` from a .bed and a trait table to the folder of parts that its tasks write, read back."""
+    _, bed, _ = _supplier_files(spark, sf_dir)
+    out = sinks.shared_folder(spark)
+    api.run_linear(spark, bed, phenotype_table=_supplier_traits(spark, sf_dir), trait_columns=["balance", "nation"], compute_dtype="float64", drop_monomorphic=True, output_dir=out)
+    return _exported(out).select("marker_id", "trait", "n", _six("beta"), _six("t_stat"))
+
+
+def api_unrelated_exported(spark, sf_dir):
+    """``run_unrelated``: the same scan after pruning relatives."""
+    _, bed, _ = _supplier_files(spark, sf_dir)
+    out = sinks.shared_folder(spark)
+    api.run_unrelated(spark, bed, relatedness.THRESHOLDS["second"], out, phenotype_table=_supplier_traits(spark, sf_dir), trait_columns=["balance", "nation"], compute_dtype="float64", drop_monomorphic=True)
+    return _exported(out).select("marker_id", "trait", "n", _six("beta"), _six("t_stat"))
+
+
+def api_multivariate(spark, sf_dir):
+    """``run_multivariate`` from a marker table and a trait table."""
+    df = read(spark, sf_dir, "embeddings")
+    ids = [str(r[0]) for r in df.select("vec_id").orderBy("vec_id").collect()]  # sample ids, as for every genotype
+    traits = df.select(F.col("vec_id").cast("string").alias("IID"), *(F.get("embedding", F.lit(t)).cast("double").alias(f"trait_{t}") for t in TRAITS[:2]))
+    markers = layout.markers_from_arrays(df, "vec_id", "embedding", MARKERS)
+    found = api.run_multivariate(spark, markers, phenotype_table=traits, sample_ids=ids, ridge=RIDGE).table
+    return found.select("marker_id", "n_traits", "df", _six("chi2"), _six("p_value"))
+
+
 _NAMES = [
     linear_scan_basic, linear_scan_multi_trait, linear_scan_with_covariates, residualize_standardize, genotype_standardize, p_value_threshold, topk_per_trait, threshold_then_topk, top_hit,
     multivariate_scan, phenotype_correlation, concordance_native_vs_block, dosage_matrix, linear_scan_star, align_left_ordered, align_missing_ids, dedup_keep_first, id_intersection, filter_to_ids,
-    qc_zero_variance, qc_counts, missing_check, complete_case, tables_union_dedup, chi_square_tail, king_kinship_pairs, unrelated_subset,
+    qc_zero_variance, qc_counts, missing_check, complete_case, tables_union_dedup, chi_square_tail, king_kinship_pairs, unrelated_subset, source_npy, source_plink,
+    api_linear_exported, api_unrelated_exported, api_multivariate,
 ]
 
 
@@ -289,6 +354,44 @@ s5 AS (SELECT vec_id, y / stddev_pop(y) OVER () AS y, z / stddev_pop(z) OVER ()
 _BRANDS = "cells AS (SELECT o_custkey AS c_custkey, p_brand AS brand, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"
 
 
+#: Dosages d and counts k of pairs of suppliers.
+_KINSHIP = """brands AS (SELECT DISTINCT p_brand AS b FROM part JOIN lineitem ON l_partkey = p_partkey),
+d AS (SELECT s_suppkey AS s, b, coalesce(n, 0) % 3 AS g FROM supplier CROSS JOIN brands LEFT JOIN (SELECT l_suppkey, p_brand, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2) ON l_suppkey = s_suppkey AND p_brand = b),
+k AS (SELECT x.s AS id_i, y.s AS id_j, count(*) FILTER (x.g = 1) AS n_het_i, count(*) FILTER (y.g = 1) AS n_het_j, count(*) FILTER (x.g = 1 AND y.g = 1) AS n_hethet, count(*) FILTER (abs(x.g - y.g) = 2) AS n_homopp
+  FROM d x JOIN d y ON x.b = y.b AND x.s < y.s GROUP BY 1, 2)"""
+#: While related pairs are left, the supplier in most of them goes, of equals the last.
+_PRUNED = """related AS (
+  SELECT id_i, id_j FROM k WHERE least(n_het_i, n_het_j) > 0
+  AND (n_hethet - 2 * n_homopp) / (2 * least(n_het_i, n_het_j)) + 0.5 - (n_het_i + n_het_j) / (4 * least(n_het_i, n_het_j)) > 0.0884),
+links AS (SELECT id_i AS a, id_j AS b FROM related UNION ALL SELECT id_j, id_i FROM related),
+pruning AS (
+  SELECT CAST([] AS BIGINT[]) AS gone, 0 AS steps
+  UNION ALL
+  SELECT list_append(gone, (SELECT arg_max(a, (c, a)) FROM (
+    SELECT a, count(*) AS c FROM links WHERE NOT list_contains(pruning.gone, a) AND NOT list_contains(pruning.gone, b) GROUP BY a))), steps + 1
+  FROM pruning WHERE EXISTS (SELECT 1 FROM links WHERE NOT list_contains(pruning.gone, a) AND NOT list_contains(pruning.gone, b))),
+kept AS (SELECT s_suppkey FROM supplier WHERE NOT list_contains((SELECT arg_max(gone, steps) FROM pruning), s_suppkey))"""
+#: Brands against two traits of the kept suppliers; brands without variance are left out.
+_KEPT_SCAN = """traits AS (
+  SELECT s_suppkey AS s, 'balance' AS trait, CAST(s_acctbal AS DOUBLE) AS y FROM supplier UNION ALL SELECT s_suppkey, 'nation', CAST(s_nationkey AS DOUBLE) FROM supplier),
+r AS (
+  SELECT b AS marker_id, trait, count(*) AS n, (avg(g * y) - avg(g) * avg(y)) / (stddev_pop(g) * stddev_pop(y)) AS beta
+  FROM d JOIN traits USING (s) WHERE s IN (SELECT s_suppkey FROM kept) GROUP BY 1, 2 HAVING stddev_pop(g) > 0)
+SELECT marker_id, trait, n, round(beta, 6) AS beta, round(beta * sqrt((n - 2) / (1 - beta * beta)), 6) AS t_stat FROM r"""
+_SUPPLIERS = f"""WITH {_KINSHIP}, counted AS (
+  SELECT row_number() OVER (ORDER BY b) - 1 AS marker_idx, b, CAST(count(*) FILTER (g = 0) AS INTEGER) AS dosage_0,
+    CAST(count(*) FILTER (g = 1) AS INTEGER) AS dosage_1, CAST(count(*) FILTER (g = 2) AS INTEGER) AS dosage_2 FROM d GROUP BY b)
+"""
+
+
+def _joint(marker: str) -> str:
+    """The joint test of two traits: the inverse of their correlation matrix is written out."""
+    return f"""{_tested(49)}, c AS (SELECT corr(a.x, b.x) AS r FROM cells a JOIN cells b USING (vec_id) WHERE a.k = 48 AND b.k = 49),
+z AS (SELECT marker, max(t_stat) FILTER (trait = 48) AS u, max(t_stat) FILTER (trait = 49) AS v FROM scanned GROUP BY 1),
+q AS (SELECT marker, ((1 + {RIDGE}) * (u * u + v * v) - 2 * r * u * v) / ((1 + {RIDGE}) * (1 + {RIDGE}) - r * r) AS chi2 FROM z CROSS JOIN c)
+SELECT {marker}, CAST(2 AS INTEGER) AS n_traits, CAST(2 AS INTEGER) AS df, round(chi2, 6) AS chi2, round(exp(-chi2 / 2), 6) AS p_value FROM q"""
+
+
 def oracle_sql() -> dict[str, str]:
     top = "row_number() OVER (PARTITION BY trait ORDER BY p, abs(t_stat) DESC, marker)"
     return {
@@ -303,10 +406,7 @@ SELECT marker, trait, n, round(beta, 6) AS beta, round(beta * sqrt((n - 2) / (1
         "topk_per_trait": f"{_tested(55)} SELECT marker, CAST(trait AS INTEGER) AS trait, round(-log10(p), 6) AS nlog10_p FROM scanned QUALIFY {top} <= {TOP}",
         "threshold_then_topk": f"{_tested(55)} SELECT marker, CAST(trait AS INTEGER) AS trait, round(-log10(p), 6) AS nlog10_p FROM scanned WHERE p <= {LIMIT} QUALIFY {top} <= {TOP}",
         "top_hit": f"{_tested(55)} SELECT CAST(marker AS INTEGER) AS marker, CAST(trait AS INTEGER) AS trait, round(beta, 6) AS beta, round(-log10(p), 6) AS nlog10_p FROM scanned ORDER BY p, marker, trait LIMIT 1",
-        "multivariate_scan": f"""{_tested(49)}, c AS (SELECT corr(a.x, b.x) AS r FROM cells a JOIN cells b USING (vec_id) WHERE a.k = 48 AND b.k = 49),
-z AS (SELECT marker, max(t_stat) FILTER (trait = 48) AS u, max(t_stat) FILTER (trait = 49) AS v FROM scanned GROUP BY 1),
-q AS (SELECT marker, ((1 + {RIDGE}) * (u * u + v * v) - 2 * r * u * v) / ((1 + {RIDGE}) * (1 + {RIDGE}) - r * r) AS chi2 FROM z CROSS JOIN c)
-SELECT marker, CAST(2 AS INTEGER) AS n_traits, CAST(2 AS INTEGER) AS df, round(chi2, 6) AS chi2, round(exp(-chi2 / 2), 6) AS p_value FROM q""",
+        "multivariate_scan": _joint("marker"),
         "phenotype_correlation": f"WITH {_CELLS} SELECT CAST(a.k AS INTEGER) AS trait_a, CAST(b.k AS INTEGER) AS trait_b, round(corr(a.x, b.x) + CASE WHEN a.k = b.k THEN {RIDGE} ELSE 0 END, 6) AS r FROM cells a JOIN cells b USING (vec_id) WHERE a.k BETWEEN 48 AND 55 AND b.k BETWEEN 48 AND 55 GROUP BY a.k, b.k",
         "concordance_native_vs_block": f"""{_tested(48)}, again AS (
   SELECT g.k AS marker, count(*) AS n, corr(g.x, y.x) AS r FROM cells g JOIN cells y USING (vec_id) WHERE g.k < 48 AND y.k = 48 GROUP BY 1),
@@ -329,9 +429,12 @@ SELECT count(*) AS columns_input, count(*) FILTER (kept) AS columns_kept, count(
         "complete_case": "SELECT c_custkey, c_acctbal, max(value) AS top_value FROM customer JOIN events ON c_custkey = user_id WHERE c_acctbal IS NOT NULL GROUP BY 1, 2 HAVING max(value) IS NOT NULL",
         "tables_union_dedup": "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id % 2, ts, event_id) = 1",
         "chi_square_tail": "SELECT DISTINCT CAST(p_size AS DOUBLE) AS chi2, round(exp(-p_size / 2) * (1 + p_size / 2), 9) AS p_value, round(-log10(exp(-p_size / 2) * (1 + p_size / 2)), 6) AS nlog10_p FROM part",
-        "king_kinship_pairs": """WITH brands AS (SELECT DISTINCT p_brand AS b FROM part JOIN lineitem ON l_partkey = p_partkey),
-d AS (SELECT s_suppkey AS s, b, coalesce(n, 0) % 3 AS g FROM supplier CROSS JOIN brands LEFT JOIN (SELECT l_suppkey, p_brand, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2) ON l_suppkey = s_suppkey AND p_brand = b),
-k AS (SELECT x.s AS id_i, y.s AS id_j, count(*) FILTER (x.g = 1) AS n_het_i, count(*) FILTER (y.g = 1) AS n_het_j, count(*) FILTER (x.g = 1 AND y.g = 1) AS n_hethet, count(*) FILTER (abs(x.g - y.g) = 2) AS n_homopp
-  FROM d x JOIN d y ON x.b = y.b AND x.s < y.s GROUP BY 1, 2)
+        "king_kinship_pairs": f"""WITH {_KINSHIP}
 SELECT *, CASE WHEN least(n_het_i, n_het_j) > 0 THEN round((n_hethet - 2 * n_homopp) / (2 * least(n_het_i, n_het_j)) + 0.5 - (n_het_i + n_het_j) / (4 * least(n_het_i, n_het_j)), 6) END AS phi FROM k""",
+        "unrelated_subset": f"WITH RECURSIVE {_KINSHIP}, {_PRUNED} SELECT s_suppkey FROM kept",
+        "source_npy": _SUPPLIERS + "SELECT marker_idx, 'marker_' || marker_idx AS marker_id, dosage_0, dosage_1, dosage_2 FROM counted",
+        "source_plink": _SUPPLIERS + "SELECT marker_idx, b AS marker_id, dosage_0, dosage_1, dosage_2 FROM counted",
+        "api_linear_exported": f"WITH {_KINSHIP}, kept AS (SELECT s_suppkey FROM supplier), {_KEPT_SCAN}",
+        "api_unrelated_exported": f"WITH RECURSIVE {_KINSHIP}, {_PRUNED}, {_KEPT_SCAN}",
+        "api_multivariate": _joint("'marker_' || marker AS marker_id"),
     }

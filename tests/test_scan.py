@@ -13,7 +13,7 @@ from genoquilt.functions import tails
 from genoquilt.operators import concordance, gram, layout, relatedness, scan, tables
 from genoquilt.plans import cli, fixtures
 from genoquilt.plans.api import run_unrelated
-from genoquilt.sources import genotypes
+from genoquilt.sources import genotypes, sinks
 from genoquilt.streaming.markers import stream_linear_scan
 
 
@@ -134,11 +134,14 @@ def test_many_traits_scan_in_passes(spark, monkeypatch):
     assert run_linear(spark, toy["genotype"], toy["phenotype"], topk_per_trait=2).table.count() == 6
 
 
+def as_matrix(markers):
+    return np.array([r["g"] for r in markers.orderBy("marker_idx").collect()]).T
+
+
 def test_sources(spark, tmp_path):
     toy = fixtures.toy_cohort()
     g = toy["genotype"]
     np.save(tmp_path / "g.npy", g)
-    as_matrix = lambda t: np.array([r["g"] for r in t.orderBy("marker_idx").collect()]).T
     npy = genotypes.open_genotype(spark, str(tmp_path / "g.npy"))
     assert npy.n_samples == 64 and np.array_equal(as_matrix(npy.markers), g)
     codes = {2: 0, 1: 2, 0: 3}
@@ -205,6 +208,15 @@ def test_tables_align(spark, tmp_path):
         run_linear(spark, g, phenotype_table=table)
 
 
+def test_plink_writer_round_trip(spark, tmp_path):
+    for n in (1, 4, 7):
+        g = np.random.default_rng(n).integers(0, 4, (n, 5)).astype(float)
+        g[g == 3] = np.nan
+        bed = sinks.write_plink(g, [f"m{k}" for k in range(5)], [f"s{k}" for k in range(n)], tmp_path / f"w{n}")
+        back = genotypes.open_genotype(spark, bed)
+        assert back.sample_ids == [f"s{k}" for k in range(n)] and np.array_equal(as_matrix(back.markers), g, equal_nan=True)
+
+
 def test_kinship_and_unrelated(spark):
     rng = np.random.default_rng(1)
     g = rng.integers(0, 3, (20, 300)).astype(float)
@@ -218,6 +230,10 @@ def test_kinship_and_unrelated(spark):
         hi, hj = (a[ok] == 1).sum(), (b[ok] == 1).sum()
         phi = ((a[ok] == 1) & (b[ok] == 1)).sum() - 2 * (np.abs(a[ok] - b[ok]) == 2).sum()
         assert r["phi"] == pytest.approx(phi / (2 * min(hi, hj)) + 0.5 - (hi + hj) / (4 * min(hi, hj)))
+    whole = sorted(map(tuple, pairs.collect()))
+    assert len(whole) == 190
+    for tile in (7, 19, 20):  # tiles that do and do not divide the samples
+        assert sorted(map(tuple, relatedness.kinship_pairs(markers, 20, tile=tile).collect())) == whole
     keep = relatedness.unrelated(pairs, 20, 0.354)
     assert len({3, 7, 9} & set(keep)) == 1 and len(keep) == 18
     out, ids = run_unrelated(spark, genotypes.from_array(spark, g), sample_ids=[f"s{i}" for i in range(20)], cutoff=0.354, phenotype_table=spark.createDataFrame([(f"s{i}", float(i % 5)) for i in range(20)], "IID string, t double"))
