@@ -49,12 +49,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), PIECES, limit=4096)
 
 
-def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_chats(table(spark, sf_dir, "conversations"))
+#: The registered tools, against which calls are validated: name, required arguments, types.
+TOOLS = [("lookup", ["order", "status"], {"order": "integer", "status": "string"}), ("refund", ["order", "amount"], {"order": "integer", "amount": "number"})]
 
 
-#: Tools of the planted conversations: name, required arguments, types.
-TOOLS = [("lookup", ["order", "status"], {"order": "integer", "status": "string"}), ("refund", ["order", "amount"], {"order": "integer", "amount": "number"})]
+def known_tools(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(TOOLS, "name string, required array<string>, types map<string,string>")
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"), known_tools(spark))
 
 
 def chat_planted_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,8 +78,7 @@ def chat_planted_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     answer = F.concat(F.lit('{"tool_call_id":"'), which, order, F.lit('","content":"part '), F.col("l_partkey").cast("string"), F.lit('"}'))
     late = 10 * F.col("o_orderkey") + F.when(F.col("l_orderkey") % 5 == 0, -F.col("l_linenumber")).otherwise(F.col("l_linenumber"))
     told = lines.select(F.col("o_custkey").alias("conv_id"), late.alias("turn"), F.lit("tool").alias("role"), answer.alias("text"))
-    tools = spark.createDataFrame(TOOLS, "name string, required array<string>, types map<string,string>")
-    return chat.format_chats(asked.unionByName(told), tools)
+    return chat.format_chats(asked.unionByName(told), known_tools(spark))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

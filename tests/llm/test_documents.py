@@ -285,6 +285,16 @@ def test_op9_repeated_rows_and_null_keys(spark):
     assert by[2, None, "tool"]["place"] == 4 and by[2, 4, "assistant"]["linked"]
 
 
+def test_op9_query_links_and_validates(spark, tmp_path):
+    call = lambda i, name, args: "<tool_call>" + json.dumps({"id": i, "name": name, "arguments": args}) + "</tool_call>"
+    rows = [(1, 0, "assistant", call("p", "refund", {"order": 3, "amount": 2.5})), (1, 1, "tool", json.dumps({"tool_call_id": "p", "content": "done"}))]
+    rows += [(2, 5, "assistant", call("q", "lookup", {"order": "3"})), (2, 2, "tool", json.dumps({"tool_call_id": "q", "content": "?"}))]
+    rows += [(3, 0, "assistant", call("r", "ghost", {})), (3, 1, "user", "hello")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r["conv_id"], r["turn"]): (r["place"], r["linked"], r["valid"]) for r in queries.op9_chat_formatting(spark, str(tmp_path)).collect()}
+    assert got == {(1, 0): (0, True, True), (1, 1): (1, True, None), (2, 5): (5, True, False), (2, 2): (5, True, None), (3, 0): (0, False, False), (3, 1): (1, None, None)}
+
+
 def test_op10(spark):
     mit = next(t for i, t in licenses.NOTICES if t.startswith("MIT License"))
     docs = spark.createDataFrame(
