@@ -1,8 +1,9 @@
 """Connected components of a distributed edge list by alternating large-star and small-star steps
-(Kiveris et al. 2014): no component and no list of links ever meets in one task or on the driver."""
+(Kiveris et al. 2014): no component and no list of links beyond FEW ever meets in one task, none on the driver."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +11,8 @@ from .common import cut, forget
 
 #: A node with at least one in HOT of all edges is a hub, of which there are at most HOT; its edges are dealt to SALTS tasks.
 HOT, LEAST_HOT, SALTS = 1000, 1000, 32
+#: So many distinct edges (1 MB) are united by one task; rounds over the cluster would take some ten jobs each.
+FEW = 1 << 16
 
 
 def hot_keys(counts: DataFrame, key: str, total: int) -> list[int]:
@@ -42,14 +45,36 @@ def _star(edges: DataFrame, large: bool, hubs: list[int]) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def _united(batches):
+    """(node, component) of all edges of a task, by union and find; the smaller root stays a root."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            x, y = root(a), root(b)
+            up[max(x, y)] = min(x, y)
+    nodes = list(up)
+    for at in range(0, len(nodes), 8192):
+        part = nodes[at : at + 8192]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(map(root, part), pa.int64())], names=["node", "component"])
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", few: int = FEW) -> DataFrame:
     """(node, component): the smallest node that each node of an edge list of longs can reach. Self-loops, repeats
-    and null ends add nothing; nodes without edges are not listed."""
+    and null ends add nothing; nodes without edges are not listed. At most ``few`` distinct edges are united by one
+    task, more by steps over the cluster, with the same result."""
     ends = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     edges = cut(ends.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges")
     state = None
     while True:
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if state is None and now[0] <= few:
+            return edges.coalesce(1).mapInArrow(_united, "node long, component long")
         if now == state or not now[0]:
             break
         state = now

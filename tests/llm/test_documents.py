@@ -129,6 +129,18 @@ def test_components(spark):
     assert sorted(map(tuple, got.collect())) == sorted((i, find(i)) for i in nodes)
 
 
+def test_components_short_lists_take_one_table(spark, monkeypatch):
+    rng = random.Random(4)
+    edges = [(i, i + 1) for i in range(400)] + [(rng.randrange(-900, -1), rng.randrange(-900, -1)) for _ in range(700)] + [(7, 7), (None, 3), (500, None)]
+    table, written, real = spark.createDataFrame(edges, "a long, b long"), [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, name: written.append(name) or real(df, name))
+    short = sorted(map(tuple, graph.components(table).collect()))
+    assert len(written) == 1  # before, a table a round
+    assert short == sorted(map(tuple, graph.components(table, few=0).collect())) and len(written) > 3
+    assert dict(short)[400] == 0 and 500 not in dict(short)
+    assert graph.components(table.where("a = 7")).count() == 2 and graph.components(table.limit(0)).count() == 0
+
+
 def test_op6_segments_equal_brute_force():
     rng = random.Random(3)
     m = toxicity.ToxicModel({"bad": 2.0, "vile*": 1.5}, -0.4, 1.0, 0.1, (0.0, 1.0, 1.0))
