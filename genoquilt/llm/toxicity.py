@@ -15,6 +15,8 @@ from __future__ import annotations
 import dataclasses
 import math
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,9 @@ FIT_DOCUMENTS = 200_000
 #: Weight of the prior, in documents; z above which an entry counts; expected chance passages below which one is significant.
 PRIOR_DOCUMENTS, LEAST_Z, LEAST_EVALUE = 4.0, 4.0, 0.05
 STARTS = (7, 6, 5, 4, 3)
-#: Words that a task counts before it hands them on; bytes of words' odds that a worker remembers.
-FLUSH, CACHE_BYTES = 200_000, 24 << 20
+#: Words that a task counts before it hands them on, parts that they are dealt to; bytes of words' odds that a worker remembers.
+FLUSH, PARTS, CACHE_BYTES = 200_000, 256, 24 << 20
+COUNTS = pa.schema([("word", pa.string()), ("kind", pa.int8()), ("n", pa.int64())])
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -115,30 +118,63 @@ def held_out(id_col: Column) -> Column:
 
 
 def _counts(batches):
-    """(word, t0, o0, t1, o1): in how many toxic and other documents of either half each word or word start stands, by task."""
-    seen: dict[str, list[int]] = {}
+    """(part, counts): in how many documents of each kind (0 and 1 toxic and other ones of the first half, 2 and 3 of the second) each
+    word or word start stands, by task. ``counts`` holds a part's (word, kind, n) as an Arrow stream, so that Spark moves a few
+    hundred rows a task and its JVM sums none."""
+    seen: tuple[Counter, ...] = tuple(Counter() for _ in range(4))
 
     def out():
-        return pa.RecordBatch.from_arrays([pa.array(list(seen)), *(pa.array([v[i] for v in seen.values()], pa.int64()) for i in range(4))], names=["word", "t0", "o0", "t1", "o1"])
-
-    for batch in batches:
-        for text, toxic, half in zip(*(batch.column(n).to_pylist() for n in ("text", "toxic", "half"))):
-            words = set(_WORD.findall(text.lower())) if text else set()
-            words |= {w[:n] + "*" for n in STARTS for w in words if len(w) >= n}
-            words.add("")  # the document itself
-            at = 2 * half + (not toxic)
-            for w in words:
-                v = seen.get(w)
-                if v is None:
-                    v = seen[w] = [0, 0, 0, 0]
-                v[at] += 1
-            if len(seen) > FLUSH:
-                yield out()
-                seen.clear()
-    if seen:
+        words = [w for c in seen for w in c]
+        part = np.fromiter((zlib.crc32(w.encode()) % PARTS for w in words), np.int32, len(words))
+        order = np.argsort(part, kind="stable")
+        n = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in seen])
+        counts = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(np.repeat(np.arange(4, dtype=np.int8), list(map(len, seen)))), pa.array(n)], schema=COUNTS).take(pa.array(order))
+        ends = np.searchsorted(part[order], np.arange(PARTS + 1))
+        some = [k for k in range(PARTS) if ends[k] < ends[k + 1]]
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([_packed(counts.slice(ends[k], ends[k + 1] - ends[k])) for k in some], pa.binary())], names=["part", "counts"])
+
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 512):  # bounds the Python objects alive at once
+            batch = whole.slice(lo, 512)
+            for text, toxic, half in zip(*(batch.column(n).to_pylist() for n in ("text", "toxic", "half"))):
+                words = set(_WORD.findall(text.lower())) if text else set()
+                words |= {w[:n] + "*" for n in STARTS for w in words if len(w) >= n}
+                seen[2 * half + (not toxic)].update(words)
+                if sum(map(len, seen)) > FLUSH:
+                    yield out()
+                    for c in seen:
+                        c.clear()
+    if any(seen):
         yield out()
 
 
+def _packed(counts: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, counts.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(counts)
+    return sink.getvalue().to_pybytes()
+
+
+def _summed(total: tuple[int, int, int, int]):
+    """For ``applyInArrow``: a part's words that are clear in either half or in both, with their sums over all tasks by kind.
+    ``total``: the documents of each kind."""
+
+    def clear(t, o, n_toxic, n_other):
+        base = n_toxic / max(1, n_toxic + n_other)
+        return (t >= 3) & (t - base * (t + o) >= LEAST_Z * np.sqrt(base * (1 - base) * (t + o)))
+
+    def run(part: pa.Table) -> pa.Table:
+        every = pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in part.column("counts")]).combine_chunks()
+        words = every.column("word").combine_chunks().dictionary_encode()
+        sums = np.zeros((len(words.dictionary), 4), np.int64)
+        np.add.at(sums, (words.indices.to_numpy(), every.column("kind").to_numpy()), every.column("n").to_numpy())
+        t0, o0, t1, o1 = sums.T
+        found = np.flatnonzero(clear(t0 + t1, o0 + o1, total[0] + total[2], total[1] + total[3]) | clear(t0, o0, *total[:2]) | clear(t1, o1, *total[2:]))
+        return pa.table([words.dictionary.take(pa.array(found)), *sums[found].T.copy()], names=["word", "t0", "o0", "t1", "o1"])
+
+    return run
+
+
 def _lexicon(rows: dict[str, tuple[int, int]], nt: int, no: int) -> tuple[dict[str, float], list[tuple[float, float]]]:
     """Entries with their log-odds, and (rate among other documents, log-odds) of the words."""
     if not nt or not no:
@@ -175,19 +211,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id").select("text", "toxic", "half")  # bounded by max_documents rows of 16 bytes
     texts = cut(texts, "labelled")  # read three times
 
-    counted = texts.mapInArrow(_counts, "word string, t0 long, o0 long, t1 long, o1 long").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("t0", "o0", "t1", "o1")))
-    counted = cut(counted.where("word = '' or t0 + t1 >= 3"), "words")
-    total = next((tuple(r)[1:] for r in counted.where("word = ''").collect()), (0, 0, 0, 0))
+    n = {(r["half"], r["toxic"]): r["count"] for r in texts.groupBy("half", "toxic").count().collect()}
+    total = tuple(n.get((half, toxic), 0) for half in (0, 1) for toxic in (1, 0))
     nt, no = total[0] + total[2], total[1] + total[3]
     if not nt or not no:
+        forget(texts)
         return ToxicModel({}, 0.0, 1.0, 1.0, (4.0 if nt else -4.0, 0.0, 0.0))
 
-    def clear(t, o, n_toxic, n_other):
-        base = n_toxic / max(1, n_toxic + n_other)
-        return (t >= 3) & (t - base * (t + o) >= LEAST_Z * F.sqrt(base * (1 - base) * (t + o)))
-
-    c = [F.col(x) for x in ("t0", "o0", "t1", "o1")]
-    kept = counted.where("word <> ''").where(clear(c[0] + c[2], c[1] + c[3], nt, no) | clear(c[0], c[1], *total[:2]) | clear(c[2], c[3], *total[2:])).collect()
+    counted = texts.mapInArrow(_counts, "part int, counts binary").groupBy("part")
+    kept = counted.applyInArrow(_summed(total), "word string, t0 long, o0 long, t1 long, o1 long").collect()
     every, rates = _lexicon({r["word"]: (r["t0"] + r["t1"], r["o0"] + r["o1"]) for r in kept}, nt, no)
     halves = [_lexicon({r["word"]: (r[f"t{h}"], r[f"o{h}"]) for r in kept}, *total[2 * h : 2 * h + 2])[0] for h in (0, 1)]
     background = -0.02
@@ -230,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     model = ToxicModel(every, background, decay, scale, (0.0, 0.0, 0.0))
     found = [features([(0, 0, x, model.expected(x, r["n"])) for x in r["scores"]]) for r in seen]
     model.weights = _fit_logistic(np.array(found), np.array([r["toxic"] for r in seen], float))
-    forget(texts, counted)
+    forget(texts)
     return model
 
 
