@@ -15,20 +15,23 @@ import json
 import os
 import re
 import zlib
-from collections import ChainMap
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 import tokenizers
+from tokenizers.pre_tokenizers import Sequence, Split
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Bounded, arrow_rows, cut, hold, shuffle_partitions
 
-#: Bytes of words' and of pre-tokens' ids that a worker remembers, each.
-CACHE_BYTES = 112 << 20
+#: Bytes of pre-tokens' ids that a worker remembers.
+CACHE_BYTES = 96 << 20
 CACHE_CHARS = 40
+#: Characters of the texts that are encoded together, besides the last one's; pre-tokens that the library gets at once.
+GROUP_CHARS = 4 << 20
+CALL_PARTS = 4096
 #: Runs sent to every task at most (40 bytes each); beyond that they are joined instead.
 MAX_BROADCAST_RUNS = 1_000_000
 
@@ -37,11 +40,11 @@ MAX_BROADCAST_RUNS = 1_000_000
 class WordEncoder:
     """Ids as little-endian unsigned 32-bit bytes, equal to the library's for the whole text.
 
-    The pre-tokenizer drops white space and matches never cross it, so words between white space are encoded apart
-    and frequent ones looked up. New words are split into pre-tokens; unknown ones of these go to the library in one
-    text, whose ids fall apart at the tokens that end a pre-token. That holds for texts of Latin letters and signs
-    (``_PLAIN``), which lower-case letter by letter and are in normal form; texts with other characters, or with a
-    special token's string, go to the library whole.
+    The pre-tokenizer drops white space and matches never cross it, so the words of many texts are taken apart at white space and
+    each different one is lower-cased and split into pre-tokens once, in Arrow. Each different pre-token is looked up once; unknown
+    ones go to the library in one text, whose ids fall apart at the tokens that end a pre-token. Words, then texts, take their ids
+    from there. That holds for texts of Latin letters and signs (``_PLAIN``), which lower-case letter by letter and are in normal
+    form; texts with other characters, or with a special token's string, go to the library whole.
     """
 
     _PLAIN = re.compile(r"[\t-\r -~\xa0-įı-ɏ‐-…€]*")
@@ -52,51 +55,77 @@ class WordEncoder:
         self._library.no_truncation()
         self._library.no_padding()
         self._special = [t.content for t in self._library.get_added_tokens_decoder().values()]
-        split = json.loads(self._library.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self._split = regex.compile(split).findall
+        self._split = json.loads(self._library.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self._of_parts = tokenizers.Tokenizer(self._library.model)  # for pre-tokens in normal form, with blanks between
+        self._of_parts.pre_tokenizer = Sequence([Split(" ", "removed"), self._library.pre_tokenizer[1]])
         self._ends = np.zeros(self._library.get_vocab_size(True), bool)
         for token, i in self._library.get_vocab(False).items():
             self._ends[i] = token.endswith("</w>")
-        weigh = lambda word, ids: 200 + len(word) + len(ids)
-        self._words = Bounded(CACHE_BYTES, weigh)
-        self._parts = Bounded(CACHE_BYTES, weigh)
+        self._parts = Bounded(CACHE_BYTES, lambda part, ids: 200 + len(part) + len(ids))
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
+    @staticmethod
+    def _encode(library: tokenizers.Tokenizer, text: str) -> bytes:
+        return np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def _apart(self, parts: list[str]) -> dict[str, bytes] | None:
+    def _apart(self, parts: list[str]) -> list[bytes] | None:
         """Each pre-token's ids; None if the ids do not fall apart into as many."""
-        raw = self._encode([" ".join(parts)])[0]
+        raw = b"".join([self._encode(self._of_parts, " ".join(parts[k : k + CALL_PARTS])) for k in range(0, len(parts), CALL_PARTS)])
         ends = np.flatnonzero(self._ends[np.frombuffer(raw, "<u4")]) + 1
         if len(ends) != len(parts):
             return None
-        return {p: raw[4 * a : 4 * b] for p, a, b in zip(parts, [0, *ends[:-1].tolist()], ends.tolist())}
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of ``_PLAIN`` texts without special tokens' strings."""
+        words = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
+        which = words.flatten().dictionary_encode()
+        # a part after the last separator, and a word before or after outer white space, is empty and has no ids
+        split = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(which.dictionary), self._split, "\\0\n"), "\n")
+        of_words = split.flatten().dictionary_encode()
+        parts, known = of_words.dictionary.to_numpy(zero_copy_only=False).tolist(), self._parts
+        ids = [known.get(p) if p else b"" for p in parts]
+        unknown = [k for k, x in enumerate(ids) if x is None]
+        learnt = self._apart([parts[k] for k in unknown])
+        if learnt is None:
+            return [self._encode(self._library, t) for t in texts]
+        for k, x in zip(unknown, learnt):
+            ids[k] = x
+            if len(parts[k]) <= CACHE_CHARS:
+                known.keep(parts[k], x)
+        by_word = _joined(pa.array(ids, pa.large_binary()).take(of_words.indices), split.offsets)
+        by_text = _joined(by_word.take(which.indices), words.offsets)
+        return by_text.to_pylist()
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """``encode`` of each, together."""
+        out, plain, size = [b""] * len(texts), [], 0
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if not self._PLAIN.fullmatch(text) or any(s in text for s in self._special):
+                out[i] = self._encode(self._library, text)
+                continue
+            plain.append(i)
+            size += len(text)
+            if size >= GROUP_CHARS:
+                self._fill(out, texts, plain)
+                plain, size = [], 0
+        self._fill(out, texts, plain)
+        return out
+
+    def _fill(self, out: list[bytes], texts: list[str | None], which: list[int]) -> None:
+        for i, ids in zip(which, self._encode_plain([texts[i] for i in which])):
+            out[i] = ids
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self._PLAIN.fullmatch(text) or any(s in text for s in self._special):
-            return self._encode([text])[0]
-        known, words = self._words, text.split()
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            rest = list({w for w in words if w not in known})
-        parts = {w: self._split(w.lower()) for w in rest}
-        have, unknown = self._parts, list({p for ps in parts.values() for p in ps if p not in self._parts})
-        if unknown:
-            learnt = self._apart(unknown)
-            if learnt is None:
-                return self._encode([text])[0]
-            for p, ids in learnt.items():
-                have.keep(p, ids)
-            have = ChainMap(learnt, have)
-        new = {w: b"".join([have[p] for p in ps]) for w, ps in parts.items()}
-        out = b"".join([known[w] if w in known else new[w] for w in words])
-        for w, ids in new.items():
-            if len(w) <= CACHE_CHARS:
-                known.keep(w, ids)
-        return out
+        return self.encode_all([text])[0]
+
+
+def _joined(values: pa.LargeBinaryArray, offsets: pa.Array) -> pa.LargeBinaryArray:
+    """Binary values, concatenated between each two offsets."""
+    _, at, data = values.buffers()
+    ends = np.frombuffer(at, np.int64, len(values) + 1, 8 * values.offset)[offsets.to_numpy()]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), data])
 
 
 @functools.lru_cache(maxsize=2)
@@ -113,12 +142,12 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int =
 
     def make():
         hold("packing", word_encoder.cache_clear)
-        encode, end, step = word_encoder(path).encode, np.array([end_id], "<u4").tobytes(), 4 * capacity
+        encode, end, step = word_encoder(path).encode_all, np.array([end_id], "<u4").tobytes(), 4 * capacity
 
         def apply(rows):
             out = {f.name: [] for f in schema}
-            for i, text in zip(rows["id"], rows["text"]):
-                raw = encode(text) + end
+            for i, ids in zip(rows["id"], encode(rows["text"])):
+                raw = ids + end
                 for k, at in enumerate(range(0, len(raw), step)):
                     part = raw[at : at + step]
                     for name, v in zip(out, (i, k, at // 4, len(part) // 4, zlib.crc32(part), part)):

@@ -89,6 +89,40 @@ def test_words_equal_library():
         assert np.frombuffer(w.encode(text), "<u4").tolist() + [1] == _library_ids(t, text), (text or "")[:50]
 
 
+def test_words_of_a_batch_are_looked_up_once(monkeypatch):
+    class Counted(dict):
+        asked = []
+
+        def get(self, part):
+            self.asked.append(part)
+            return super().get(part)
+
+        def keep(self, part, ids):
+            self[part] = ids
+
+    w, t = packing.WordEncoder(queries.WORDS), tokenizers.Tokenizer.from_file(queries.WORDS)
+    calls, real = [], w._encode
+    monkeypatch.setattr(w, "_parts", Counted())
+    monkeypatch.setattr(w, "_encode", lambda library, text: calls.append(text) or real(library, text))
+    texts = ["The cat's hat, the HAT.", "the cat", " a hat's cat\n", None, "The the THE"] * 50
+    want = [_library_ids(t, x)[:-1] for x in texts]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in w.encode_all(texts)] == want
+        assert sorted(Counted.asked) == sorted(["the", "cat", "'s", "hat", ",", ".", "a"])
+        Counted.asked.clear()
+    assert len(calls) == 1
+
+
+def test_plain_characters_together_equal_library(monkeypatch):
+    t, plain = tokenizers.Tokenizer.from_file(queries.WORDS), [c for c in map(chr, range(0x3000)) if packing.WordEncoder._PLAIN.fullmatch(c)]
+    rng = random.Random(7)
+    texts = [x for c in plain for x in (c, f"a{c}1", f"1{c}'S{c}", f"!{c}!{c.upper()} don'{c}t")] + ["".join(rng.choices(plain, k=300)) for _ in range(100)] + ODD
+    want = [_library_ids(t, x)[:-1] for x in texts]
+    for chars in (packing.GROUP_CHARS, 1000):
+        monkeypatch.setattr(packing, "GROUP_CHARS", chars)
+        assert [np.frombuffer(x, "<u4").tolist() for x in packing.WordEncoder(queries.WORDS).encode_all(texts)] == want
+
+
 @pytest.mark.parametrize("capacity", [16, 4096])
 def test_op3(spark, sf_dir, capacity):
     t = tokenizers.Tokenizer.from_file(queries.WORDS)
