@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 from .common import Bounded, arrow_rows, cut, hold, shuffle_partitions
 
 #: Bytes of pre-tokens' ids that a worker remembers.
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 48 << 20
 CACHE_CHARS = 40
 #: Characters of the texts that are encoded together, besides the last one's; pre-tokens that the library gets at once.
-GROUP_CHARS = 4 << 20
-CALL_PARTS = 4096
+GROUP_CHARS = 2 << 20
+CALL_PARTS = 1024
 #: Runs sent to every task at most (40 bytes each); beyond that they are joined instead.
 MAX_BROADCAST_RUNS = 1_000_000
 
