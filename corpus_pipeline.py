@@ -52,5 +52,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = cut(docs, name)
+            docs = cut(docs, name, by_spark=True)  # stages end in Python workers
     return docs

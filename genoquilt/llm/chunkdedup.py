@@ -95,7 +95,7 @@ def later_occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(doc, mark, places array<struct<place, along>>) of the documents with chunks that stand earlier in the corpus too;
     ``along`` is the alignment with the first occurrence."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null").withColumn("mark", _mark(F.col("text")))
-    chunks = cut(rows.mapInArrow(_chunks, "digest long, doc long, mark int, place long"), "chunks")
+    chunks = cut(rows, "chunks", _chunks, "digest long, doc long, mark int, place long")
     at = F.struct("doc", "mark", "place")
     first = cut(chunks.groupBy("digest").agg(F.min(at).alias("p0"), F.count(F.lit(1)).alias("n")).where("n > 1"), "first")
     hot = F.col("n") >= max(1000, int(chunks.count() * HOT_SHARE))

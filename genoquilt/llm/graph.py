@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, forget
+from .common import cut, forget, merged
 
 #: A node with at least one in HOT of all edges is a hub, of which there are at most HOT; its edges are dealt to SALTS tasks.
 HOT, LEAST_HOT, SALTS = 1000, 1000, 32
@@ -64,23 +64,24 @@ def _united(batches):
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(map(root, part), pa.int64())], names=["node", "component"])
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", few: int = FEW) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", few: int = FEW, rows: int | None = None) -> DataFrame:
     """(node, component): the smallest node that each node of an edge list of longs can reach. Self-loops, repeats
     and null ends add nothing; nodes without edges are not listed. At most ``few`` distinct edges are united by one
-    task, more by steps over the cluster, with the same result."""
+    task, more by steps over the cluster, with the same result. ``rows``: about how many edges there are at most, if known."""
+    small = (lambda df: merged(df, rows)) if rows is not None else (lambda df: df)
     ends = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    edges = cut(ends.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges")
+    edges = cut(small(ends.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()), "edges")
     state = None
     while True:
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state is None and now[0] <= few:
-            return edges.coalesce(1).mapInArrow(_united, "node long, component long")
+            return edges.coalesce(1).mapInArrow(_united, "node long, component long").repartition(1)  # a stage of its own, see cut
         if now == state or not now[0]:
             break
         state = now
         hubs = hot_keys(edges.groupBy("b").agg(F.count(F.lit(1)).alias("c")), "b", now[0]) if now[0] >= LEAST_HOT else []
         # a hub's edges lead to larger nodes; after the large star a node has few smaller neighbours
-        after = cut(_star(_star(edges, True, hubs), False, []), "edges")
+        after = cut(small(_star(_star(edges, True, hubs), False, [])), "edges")
         forget(edges)
         edges = after
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

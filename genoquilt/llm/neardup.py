@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Remembered, cut, forget, fresh, hold
+from .common import Remembered, cut, forget, fresh, hold, merged
 from .graph import components, hot_keys, spread_join
 
 SIGNATURE = 64
@@ -195,17 +195,14 @@ def _likely(least: float):
     return run
 
 
-def _candidate_links(reps: DataFrame, trees: int, depth: int, least: float) -> DataFrame:
+def _candidate_links(reps: DataFrame, total: int, trees: int, depth: int, least: float) -> DataFrame:
     """Links between documents that may be similar: (a, b)."""
-    total = reps.count()
-    members = reps.mapInArrow(_first_children(trees), "node long, doc long").withColumn("above", F.lit(total))
-    lists, stars = [], []
+    members = cut(reps, "children", _first_children(trees), "node long, doc long")
+    above, lists, stars, rows = F.lit(total), [], [], 2 * trees * total
     for level in range(1, depth + 1):
-        if level > 1:
-            members = cut(members, "children")
         counts = members.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
         hot = hot_keys(counts, "node", total)  # a level has about as many rows as there are documents, or trees times as many
-        last, sized = members, cut(spread_join(members, counts, "node", hot, "doc"), "members")
+        last, sized = members, cut(merged(spread_join(members.withColumn("above", above), counts, "node", hot, "doc"), rows), "members")
         forget(last)
         lists.append(sized.where(F.col("c") <= SMALL_NODE).groupBy("node").agg(F.sort_array(F.collect_list("doc")).alias("docs")).select("docs"))
         big = sized.where(F.col("c") > SMALL_NODE)
@@ -215,7 +212,8 @@ def _candidate_links(reps: DataFrame, trees: int, depth: int, least: float) -> D
         big = big.where(~ends)
         if level == depth or big.isEmpty():
             break
-        members = big.join(reps.select("doc", "sig").hint("merge"), "doc").select("node", "doc", "c", "sig").mapInArrow(_next_children, "node long, doc long, above long")
+        members = big.join(reps.select("doc", "sig").hint("merge"), "doc").select("node", "doc", "c", "sig")
+        members, above = cut(merged(members, rows), "children", _next_children, "node long, doc long, above long"), F.col("above")
     nodes = lists[0]
     for x in lists[1:]:
         nodes = nodes.unionByName(x)
@@ -294,8 +292,9 @@ def _linker(percent: int):
 
 
 def _decided(sets: DataFrame, assigned: DataFrame, percent: int) -> DataFrame:
-    """(cluster, a, b): links that hold on the full sets; ``assigned`` is (doc, cluster, block, sub, asks)."""
-    return sets.join(assigned.hint("merge"), "doc").groupBy("cluster", "block", "sub").applyInArrow(_linker(percent), "cluster long, a long, b long")
+    """(a, b): links that hold on the full sets; ``assigned`` is (doc, cluster, block, sub, asks)."""
+    found = sets.join(assigned.hint("merge"), "doc").groupBy("cluster", "block", "sub").applyInArrow(_linker(percent), "cluster long, a long, b long")
+    return found.select("a", "b").distinct()  # a shuffle, so the workers that decide are not beside those that write
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -311,8 +310,10 @@ def _components(rows: DataFrame, sketches: DataFrame, k: int, percent: int, tree
     numbered = sketches.where("n > 0").groupBy("d1", "d2").agg(best, F.first("sig").alias("sig"), F.first("n").alias("n"))
     classes = cut(numbered.withColumn("node", F.monotonically_increasing_id()), "classes")  # written, so the numbers stay
     reps = classes.select(F.col("node").alias("doc"), "sig")
-    links = components(_candidate_links(reps, trees, depth, percent / 100 - ESTIMATE_MARGIN))
-    clusters = cut(links.select(F.col("node").alias("doc"), F.col("component").alias("cluster")), "clusters")
+    total = reps.count()
+    most = 2 * trees * total
+    links = components(_candidate_links(reps, total, trees, depth, percent / 100 - ESTIMATE_MARGIN), rows=most)
+    clusters = cut(merged(links.select(F.col("node").alias("doc"), F.col("component").alias("cluster")), most), "clusters")
 
     pivot = [F.min(F.struct(F.xxhash64("doc", F.lit(s)).alias("h"), "doc"))["doc"].alias(f"p{s}") for s in range(4)]
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), *pivot)
@@ -321,7 +322,7 @@ def _components(rows: DataFrame, sketches: DataFrame, k: int, percent: int, tree
     placed = spread_join(clusters, sizes.select("cluster", "blocks"), "cluster", hot, "doc")
     block = F.when(F.col("blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("doc", F.lit(9)), F.col("blocks"))).cast("int")
     placed = placed.select("doc", "cluster", block.alias("block"), "blocks")
-    wide = cut(sizes.where("blocks > 1"), "wide")  # groups beyond a block
+    wide = cut(merged(sizes.where("blocks > 1"), most), "wide")  # groups beyond a block
     blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pivots = wide.select(F.explode(F.array_distinct(F.array("p0", "p1", "p2", "p3"))).alias("doc"), "cluster", blocks.alias("block"))
     plain = [F.lit(0).alias("sub"), F.lit(False).alias("asks")]
@@ -332,16 +333,16 @@ def _components(rows: DataFrame, sketches: DataFrame, k: int, percent: int, tree
     chosen = clusters.join(classes.select(F.col("node").alias("doc"), "rep").hint("merge"), "doc").select(F.col("doc").alias("node"), *name)
     same = F.col("doc").eqNullSafe(F.col("r_doc")) & (F.col("t1") == F.col("r_t1")) & (F.col("t2") == F.col("r_t2"))
     texts = rows.join(chosen.hint("merge"), same).select(F.col("node").alias("doc"), "text")
-    sets = cut(texts.mapInArrow(_full_sets(k), "doc long, shingles binary"), "sets")  # repeated rows repeat their set
-    held = cut(_decided(sets, assigned, percent), "links")
-    found = components(held)
+    sets = cut(texts, "sets", _full_sets(k), "doc long, shingles binary")  # repeated rows repeat their set
+    held = cut(merged(_decided(sets, assigned, percent), most), "links")
+    found = components(held, rows=most)
     if not wide.isEmpty():
         inside = placed.where("blocks > 1")
-        found = cut(found, "components")
+        found = cut(merged(found, most), "components")
         named = inside.join(found.withColumnRenamed("node", "doc").hint("merge"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         counted = named.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("c"))
         main = counted.groupBy("cluster").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
-        apart = cut(spread_join(named, main, "cluster", hot, "doc").where("component <> main").select("doc", "cluster", "blocks"), "apart")
+        apart = cut(merged(spread_join(named, main, "cluster", hot, "doc").where("component <> main").select("doc", "cluster", "blocks"), most), "apart")
         if not apart.isEmpty():
             size = F.greatest(F.ceil(F.count(F.lit(1)) / PART), F.ceil(F.sum("n") * 8 / PART_BYTES)).cast("int")
             lengths = classes.select(F.col("node").alias("doc"), "n")
@@ -351,11 +352,11 @@ def _components(rows: DataFrame, sketches: DataFrame, k: int, percent: int, tree
             every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
             guests = spread_join(apart, parts, "cluster", hot, "doc").select("doc", "cluster", every("parts").alias("block"), own(5, "subs").alias("sub"), F.lit(True).alias("asks"))
             hosts = spread_join(inside, parts, "cluster", hot, "doc").select("doc", "cluster", own(9, "parts").alias("block"), every("subs").alias("sub"), F.lit(False).alias("asks"))
-            more = cut(_decided(sets, guests.unionByName(hosts), percent), "links")
-            found = components(held.unionByName(more))
+            more = cut(merged(_decided(sets, guests.unionByName(hosts), percent), most), "links")
+            found = components(held.unionByName(more), rows=most)
             forget(more)
         forget(apart)
-    found = cut(found, "found")
+    found = cut(merged(found, most), "found")
     forget(held, sets, wide, clusters)
     return classes.join(found, "node", "left").select("d1", "d2", "rep", F.coalesce("component", "node").alias("component"))
 
@@ -370,7 +371,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     links of all documents stay distributed; a task holds one block's sets at a time.
     """
     rows = _keyed(docs, id_col, text_col)
-    sketches = cut(rows.mapInArrow(_sketch_udf(k), "doc long, t1 long, t2 long, n long, d1 long, d2 long, sig binary"), "sketches")
+    sketches = cut(rows, "sketches", _sketch_udf(k), "doc long, t1 long, t2 long, n long, d1 long, d2 long, sig binary")
     classes = _components(rows, sketches.where("doc is not null"), k, percent, trees, depth)
     least = classes.groupBy("component").agg(F.min("rep.doc").alias("least"))
     by_class = classes.select("d1", "d2", "component").join(least, "component").select("d1", "d2", "least")
@@ -392,7 +393,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = TREES,
     stay, all of them. An empty table stays empty.
     """
     rows = _keyed(docs, id_col, text_col)
-    sketches = cut(rows.mapInArrow(_sketch_udf(k), "doc long, t1 long, t2 long, n long, d1 long, d2 long, sig binary"), "sketches")
+    sketches = cut(rows, "sketches", _sketch_udf(k), "doc long, t1 long, t2 long, n long, d1 long, d2 long, sig binary")
     classes = _components(rows, sketches, k, percent, trees, depth)
     names = [fresh(docs, n) for n in ("_doc", "_t1", "_t2")]
     best = classes.groupBy("component").agg(F.min("rep").alias("rep")).select(*(F.col(f"rep.{c}").alias(n) for c, n in zip(("doc", "t1", "t2"), names)))

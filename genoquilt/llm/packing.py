@@ -138,6 +138,12 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int =
     ``end_id``, cut into pieces of ``capacity`` where it is longer. A null or empty text is the end id alone.
     ``token_ids``: little-endian unsigned 32-bit. No shuffle; repeated rows and null ids give their own pieces.
     """
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return slim.mapInArrow(*_pieces(path, capacity, end_id, with_ids)).withColumnRenamed("id", id_col)
+
+
+def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
+    """What makes pieces of (id, text), and their schema."""
     schema = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("token_ids", pa.binary())] * with_ids)
 
     def make():
@@ -156,8 +162,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int =
 
         return apply
 
-    sql = "id long, piece int, start long, length long, ids_crc32 long" + ", token_ids binary" * with_ids
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(arrow_rows(make, schema), sql).withColumnRenamed("id", id_col)
+    return arrow_rows(make, schema), "id long, piece int, start long, length long, ids_crc32 long" + ", token_ids binary" * with_ids
 
 
 # -- the packing plan -----------------------------------------------------------------------------
@@ -292,5 +297,6 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int
     Null and empty texts pack as their end id; repeated rows are packed each; an empty table gives no rows.
     The pieces are written once to the shared folder, as ranks need a table that reads the same each time.
     """
-    pieces = cut(token_pieces(docs, path, capacity, end_id, with_ids, id_col, text_col), "pieces")
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    pieces = cut(slim, "pieces", *_pieces(path, capacity, end_id, with_ids)).withColumnRenamed("id", id_col)
     return place(pieces, capacity, [id_col, "piece", "ids_crc32"])
