@@ -12,6 +12,7 @@ import warnings
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,11 +69,16 @@ def _blocks(batch: pa.RecordBatch, n: int, most: int | None = None):
         yield part, g.reshape(part.num_rows, n)
 
 
+def deviations(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Markers without their means, and their population deviations as a column."""
+    centred = g - g.mean(1, keepdims=True)
+    return centred, centred.std(1, keepdims=True)
+
+
 def correlate(g: np.ndarray, y: np.ndarray, dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Clamped correlations (markers x traits), their t statistics, and the markers' deviations."""
     g, y = g.astype(dtype, copy=False), y.astype(dtype, copy=False)
-    centred = g - g.mean(1, keepdims=True)
-    sd = centred.std(1, keepdims=True)
+    centred, sd = deviations(g)
     r = (centred / np.maximum(sd, dtype(EPS))) @ y / dtype(g.shape[1])
     r = np.clip(r, dtype(-R_LIMIT), dtype(R_LIMIT)).astype(float)
     t = r * np.sqrt((g.shape[1] - 2) / np.maximum(1 - r * r, EPS))
@@ -179,12 +185,26 @@ def multivariate_scan(markers: DataFrame, prepared: Prepared, ridge: float = 1e-
 
 
 def marker_quality(markers: DataFrame, n: int) -> dict[str, int]:
-    """How many markers there are and vary, whether dosages are missing, and whether lengths differ: one pass."""
-    g = F.col("g")
-    mean = F.aggregate(g, F.lit(0.0), lambda a, x: a + x) / n
-    spread = F.aggregate(g, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-    missing = g.isNull() | F.exists(g, lambda x: x.isNull() | F.isnan(x))
-    row = markers.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size(g) != n).alias("uneven"), F.count_if(missing).alias("missing"), F.count_if(~missing & (spread > 0)).alias("kept")).first()
+    """How many markers there are and vary, whether dosages are missing, and whether lengths differ: one pass, in which a
+    dosage is read a fixed number of times."""
+
+    def run(batches):
+        total = uneven = missing = kept = 0
+        for batch in batches:
+            g = batch.column("g")
+            sizes = pc.list_value_length(g).fill_null(-1).to_numpy(zero_copy_only=False)
+            absent = sizes < 0
+            total, uneven, missing = total + len(sizes), uneven + int(((sizes != n) & ~absent).sum()), missing + int(absent.sum())
+            whole = batch.filter(pa.array(sizes == n))
+            for _, x in _blocks(whole, n):
+                lacks = np.isnan(x).any(1)
+                missing += int(lacks.sum())
+                kept += int((deviations(x[~lacks])[1] > 0).sum())
+        yield pa.RecordBatch.from_pydict({"n": [total], "uneven": [uneven], "missing": [missing], "kept": [kept]})
+
+    counts = ("n", "uneven", "missing", "kept")
+    parts = markers.select("g").mapInArrow(run, ", ".join(f"{c} long" for c in counts))
+    row = parts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts)).first()
     if row["uneven"]:
         raise ValueError(f"{row['uneven']} markers do not have {n} dosages")
     if row["missing"]:
