@@ -247,6 +247,8 @@ def test_marker_quality_is_linear_in_the_samples(spark):
     began = time.time()
     assert scan.marker_quality(genotypes.from_array(spark, g).markers, n) == {"input": 3, "kept": 2}
     assert time.time() - began < 60  # the mean was found anew for each dosage: minutes
+    began, y = time.time(), np.random.default_rng(0).normal(size=(n, 2))
+    assert run_multivariate(spark, g, y).qc_summary["genotype_columns_kept"] == 2 and time.time() - began < 60
     table = lambda rows: spark.createDataFrame([(r,) for r in rows], "g array<double>")
     for rows, what in (([[0.0, 1.0], [1.0]], "1 markers do not have 2 dosages"), ([[0.0, 1.0], [1.0, None]], "missing"), ([[0.0, float("nan")]], "missing"), ([None, [0.0, 1.0]], "missing")):
         with pytest.raises(ValueError, match=what):
