@@ -241,6 +241,45 @@ def test_kinship_and_unrelated(spark):
     assert len(ids) == 18 and out.run_metadata["genotype_shape"][0] == 18
 
 
+def test_kinship_shuffles_dosages_not_pairs(spark):
+    g = np.random.default_rng(2).choice([0.0, 1.0, 2.0, 0.5, np.nan], (23, 40))
+    markers = genotypes.from_array(spark, g).markers.repartition(3)
+    pairs = relatedness.kinship_pairs(markers, 23, tile=5)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Union" not in plan and plan.count("MapInArrow") == 2
+    rows = pairs.collect()
+    assert len({(r["i"], r["j"]) for r in rows}) == len(rows) == 23 * 22 // 2
+    assert relatedness.kinship_pairs(markers, 23, 0.01, 5).count() == sum(r["phi"] is not None and r["phi"] > 0.01 for r in rows)
+    for r in rows:
+        a, b = g[r["i"]], g[r["j"]]
+        ok = ~np.isnan(a) & ~np.isnan(b)
+        assert (r["n_het_i"], r["n_het_j"]) == ((a[ok] == 1).sum(), (b[ok] == 1).sum())
+        assert (r["n_hethet"], r["n_homopp"]) == (((a == 1) & (b == 1)).sum(), (np.abs(a[ok] - b[ok]) == 2).sum())
+
+
+def test_unrelated_equals_pruning_one_by_one(spark):
+    rng, n = np.random.default_rng(3), 60
+    links = {(int(min(p)), int(max(p))) for p in rng.integers(0, n, (150, 2)) if p[0] != p[1]}
+    left, gone = set(links), set()
+    while left:
+        degree = [sum(s in p for p in left) for s in range(n)]
+        worst = max(range(n), key=lambda s: (degree[s], s))
+        gone, left = gone | {worst}, {p for p in left if worst not in p}
+    rows = [(i, j, 0.5) for i, j in links] + [(i, j, 0.5) for i, j in sorted(links)[:9]] + [(0, 1, None), (1, 2, 0.0)]
+    pairs = spark.createDataFrame(rows, "i long, j long, phi double")
+    assert relatedness.unrelated(pairs, n, 0.1) == [s for s in range(n) if s not in gone]
+    assert relatedness.unrelated(pairs.where("false"), 3, 0.1) == [0, 1, 2] and relatedness.unrelated(pairs.where("false"), 0) == []
+
+
+def test_chosen_samples(spark):
+    g = np.array([[0, 1, np.nan], [1, np.nan, 2], [2, 0, 1], [1, 1, 1.0]])
+    markers = genotypes.from_array(spark, g).markers
+    got = {r["marker_idx"]: r["g"] for r in layout.complete_at(markers, 4, [1, 3]).collect()}
+    assert got == {0: [1.0, 1.0], 2: [2.0, 1.0]}
+    plan = layout.complete_at(markers, 4, [0] * 10_000)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 5_000  # a literal a sample stood in the plan
+
+
 def test_marker_quality_is_linear_in_the_samples(spark):
     n = 20_000
     g = np.stack([np.arange(n) % 3, np.ones(n), np.arange(n) % 2]).T.astype(float)
