@@ -248,7 +248,8 @@ def king_kinship_pairs(spark, sf_dir):
 
 def unrelated_subset(spark, sf_dir):
     markers, n, ids = _supplier_dosages(spark, sf_dir)
-    keep = relatedness.unrelated(relatedness.kinship_pairs(markers, n), n, relatedness.THRESHOLDS["second"])
+    cutoff = relatedness.THRESHOLDS["second"]
+    keep = relatedness.unrelated(relatedness.kinship_pairs(markers, n, cutoff), n, cutoff)
     return spark.createDataFrame([(ids[i],) for i in keep], "s_suppkey long")
 
 
