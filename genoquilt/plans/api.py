@@ -194,7 +194,7 @@ def run_unrelated(spark, genotype, cutoff=0.0884, output_dir=None, **linear) ->
     """A linear scan over the samples that kinship pruning keeps, on markers observed in all of them. Needs sample ids.
     ``output_dir`` also gets keep.txt (family and sample id; the sample id twice where no .fam names families) and
     unrelated_summary.json."""
-    from ..operators import relatedness
+    from ..operators import layout, relatedness
 
     options = {k: linear.pop(k) for k in ("genotype_format", "bim", "fam", "sample_file") if k in linear}
     families = _families(genotype, options)
@@ -212,9 +212,7 @@ def run_unrelated(spark, genotype, cutoff=0.0884, output_dir=None, **linear) ->
             keep = sorted(r["idx"] for r in tables.intersect_in_order(samples, (df, col)).collect())
     if not keep:
         raise ValueError("no unrelated sample is in every input")
-    at = F.array(*map(F.lit, keep))
-    chosen = g.markers.withColumn("g", F.transform(at, lambda i: F.get("g", i))).where(~F.exists("g", lambda x: x.isNull() | F.isnan(x)))
-    kept = dataclasses.replace(g, markers=chosen, n_samples=len(keep), sample_ids=[ids[i] for i in keep])
+    kept = dataclasses.replace(g, markers=layout.complete_at(g.markers, g.n_samples, keep), n_samples=len(keep), sample_ids=[ids[i] for i in keep])
     result = run_linear(spark, kept, output_dir=output_dir, **linear)
     if output_dir is not None:
         summary = {"kinship_cutoff": cutoff, "n_samples": g.n_samples, "n_unrelated": len(unrelated), "n_kept": len(keep), "n_result_rows": result.run_metadata["n_result_rows"]}
