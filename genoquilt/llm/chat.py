@@ -42,11 +42,22 @@ def parse_calls(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     """(conv, turn, t1, t2, at, call_id, name, arguments map<string,string>) for each call of a distinct assistant message,
     which its conversation, turn and two hashes of its text name. ``arguments`` has raw JSON values. Text that is not a
     JSON object gives a call with null id and name."""
+    # within the generator each text is parsed once, not once a column; "outer", as Spark puts a filter with the same transforms before others
+    one = lambda b: F.struct(b["id"].alias("call_id"), b["name"].alias("name"), _raw_map(b["arguments"]).alias("arguments"))
+    calls = _calling(messages, conv, turn, role, text)
+    calls = calls.select("conv", "turn", "t1", "t2", F.posexplode_outer(F.transform(F.transform("raw", _body), one)).alias("at", "call")).where("at is not null")
+    return calls.select("conv", "turn", "t1", "t2", "at", "call.call_id", "call.name", "call.arguments")
+
+
+def _calling(messages: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
+    """(conv, turn, t1, t2, raw array<string>) for each distinct assistant message with calls."""
     found = messages.where((F.col(role) == "assistant") & F.col(text).contains("<tool_call>"))
     found = found.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), *_marks(F.col(text)), F.regexp_extract_all(text, F.lit(_CALL), 1).alias("raw"))
-    calls = found.dropDuplicates(["conv", "turn", "t1", "t2"]).select("conv", "turn", "t1", "t2", F.posexplode("raw").alias("at", "raw"))
-    body = F.from_json("raw", "id string, name string, arguments string")
-    return calls.select("conv", "turn", "t1", "t2", "at", body["id"].alias("call_id"), body["name"].alias("name"), _raw_map(body["arguments"]).alias("arguments"))
+    return found.dropDuplicates(["conv", "turn", "t1", "t2"])
+
+
+def _body(raw: Column) -> Column:
+    return F.from_json(raw, "id string, name string, arguments string")
 
 
 def _marks(text: Column) -> list[Column]:
@@ -97,7 +108,8 @@ def format_chats(messages: DataFrame, tools: DataFrame | None = None, conv: str
         F.count(F.lit(1)).cast("int").alias("n_calls"), F.bool_and(F.col("r_id").isNotNull()).alias("linked"), F.bool_and("valid").alias("valid"),
         F.transform(F.array_sort(F.collect_list(F.struct("at", _call_json().alias("json")))), lambda c: c["json"]).alias("calls"),
     )
-    callers = calls.where("call_id is not null").groupBy(F.col("conv").alias("r_conv"), F.col("call_id").alias("r_id")).agg(F.min(own).alias("called"))
+    ids = F.explode_outer(F.transform("raw", lambda r: _body(r)["id"])).alias("call_id")
+    callers = _calling(msgs, "conv", "turn", "role", "text").select("conv", "turn", ids).where("call_id is not null").groupBy(F.col("conv").alias("r_conv"), F.col("call_id").alias("r_id")).agg(F.min(own).alias("called"))
 
     calling = (F.col("role") == "assistant") & F.col("text").contains("<tool_call>")
     same = F.col("conv").eqNullSafe(F.col("c_conv")) & F.col("turn").eqNullSafe(F.col("c_turn")) & (F.col("t1") == F.col("c1")) & (F.col("t2") == F.col("c2"))
